@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, secrets
+from . import _tokens, chat, packing, quality, secrets, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +80,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).drop("text")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokens.tokenizer_path("word_bpe_49k.json")
+    return tokenbin.read_tokens(tokenbin.write_tokens(_table(spark, sf_dir, "documents"), path, end_id=2), tokenbin.crc)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokens.tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
+    "op6_token_files": op6_token_files,
     "op7_secret_scan": op7_secret_scan,
+    "op8_packing": op8_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
