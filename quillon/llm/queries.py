@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _tokens, chat, packing, quality, secrets, tokenbin
+from . import _tokens, chat, packing, piece_bpe, quality, secrets, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,11 +89,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokens.tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.code_texts(_table(spark, sf_dir, "documents"), _tokens.tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op6_token_files": op6_token_files,
     "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
+    "op9_piece_codec": op9_piece_codec,
     "op10_quality_rules": op10_quality_rules,
 }
 
