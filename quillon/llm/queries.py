@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _tokens, chat, packing, piece_bpe, quality, secrets, tokenbin, toxicity
+from . import _tokens, chat, neardup, packing, piece_bpe, quality, secrets, tokenbin, toxicity
 from ._shared import crc_fold
 
 
@@ -88,6 +88,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).drop("text")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokens.tokenizer_path("word_bpe_49k.json")
     return tokenbin.read_tokens(tokenbin.write_tokens(_table(spark, sf_dir, "documents"), path, end_id=2), tokenbin.crc)
@@ -104,6 +108,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_chat_format": op3_chat_format,
+    "op5_near_dedup": op5_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
