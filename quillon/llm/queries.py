@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _tokens, chat, neardup, packing, piece_bpe, quality, secrets, tokenbin, toxicity
+from . import _tokens, chat, lmscore, neardup, packing, piece_bpe, quality, secrets, tokenbin, toxicity
 from ._shared import crc_fold
 
 
@@ -88,6 +88,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).drop("text")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lmscore.score_texts(docs, crc_fold(F.col("doc_id")) != 1)
+    return scored.withColumn("held_out", crc_fold(F.col("doc_id")) == 1)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
@@ -108,6 +114,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_chat_format": op3_chat_format,
+    "op4_lm_score": op4_lm_score,
     "op5_near_dedup": op5_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_secret_scan": op7_secret_scan,
