@@ -89,7 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = lmscore.score_texts(docs, crc_fold(F.col("doc_id")) != 1)
     return scored.withColumn("held_out", crc_fold(F.col("doc_id")) == 1)
 
