@@ -117,8 +117,10 @@ def scan_secrets(docs: DataFrame, owner: str = "source", many_owners: int = 2, m
 
 def redact(docs: DataFrame, owner: str = "source") -> DataFrame:
     """docs whose reported spans are overwritten: live-looking values and copied examples by different masks."""
-    reported = scan_secrets(docs, owner).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
+    may = text.rlike("|".join((ASSIGN, ACCESS_RUN, HEX_RUN, OWNED)))
+    rest, docs = docs.where(~may), docs.where(may)  # most texts hold no candidate and stay out of the join
+    reported = scan_secrets(docs, owner).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
     keyed = docs.withColumn("_key", F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 256))
     joined = keyed.join(reported, keyed["_key"] == reported["key"], "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -138,7 +140,7 @@ def redact(docs: DataFrame, owner: str = "source") -> DataFrame:
     out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    return rest.unionByName(out.select(*[f"`{c}`" for c in docs.columns]))
 
 
 def spans_text(spans: Column) -> Column:
