@@ -5,10 +5,12 @@ give tables * tables keys from 2 * tables * HALF minhashes instead of 2 * HALF f
 for which a pair right at the threshold shares a key with probability 0.999 or more.
 
 Documents with equal sets (equal 128-bit sums of two hashes of each shingle, and size) are one class with its smallest doc_id
-as representative. In each bucket the smallest representative is compared with the others, on full sets; found links give
-components; buckets that still hold several components compare their next representatives (1, 2, 4, ... a round) with the
-members of other components, until every pair of a bucket is compared or joined. So no pair of a bucket is skipped, a bucket
-of near copies costs its size, and nothing emits all pairs.
+as representative. In each bucket the smallest representative, its hub, is compared with the others on full sets; found links
+give components. Buckets that then hold a single component are done. The other members of what remains meet around their hub:
+in bins of their exact Jaccard distance to it, since by the triangle inequality a link can't span more than the threshold's
+distance, and in blocks of at most `BLOCK` members. Each pair of blocks is one task that counts intersections of full sets as
+a matrix product and returns a spanning forest of the links between different components. So no pair of a bucket is skipped,
+nothing emits all pairs, and no task holds more than two blocks.
 
 Edge cases: no words (null, empty, white space): an empty set, linked with nothing; fewer words than a shingle has: the whole
 sequence is the one shingle; repeated rows are copies; null doc_ids are never representatives, and such a row's component is
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -28,6 +30,7 @@ from ._shared import blocks, map_arrow, materialize, utf8
 from .graph import components
 
 HALF = 3
+BLOCK = 512
 _seeds = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -105,14 +108,76 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs, run, "rep long, shingles array<long>")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """u, v of the pairs (hub, rep) whose full sets reach the threshold."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, rep, shared, total: sizes of the intersection and union of the full sets of each pair."""
     theirs = sets.select(F.col("rep"), F.col("shingles").alias("mine"))
     hubs = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hubs"))
-    both = pairs.join(theirs, "rep").join(hubs, "hub")
     shared = F.size(F.array_intersect("mine", "hubs"))
-    union = F.size("mine") + F.size("hubs") - shared
-    return both.where(den * shared >= num * union).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
+    both = pairs.join(theirs, "rep").join(hubs, "hub")
+    return both.select("hub", "rep", shared.alias("shared"), (F.size("mine") + F.size("hubs") - shared).alias("total"))
+
+
+def _forest(table: pa.Table, num: int, den: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links between members of different components. table: rep, c, shingles."""
+    reps, labels = table["rep"].to_pylist(), table["c"].to_pylist()
+    lists = table["shingles"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    values, column, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(reps)), sizes)
+    many = often[column] > 1  # what one member has alone is in no intersection
+    row, column = row[many], np.cumsum(often > 1)[column[many]] - 1
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(reps), len(reps)), np.float32)
+    width = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        slab = np.zeros((len(reps), width), np.float32)
+        slab[row[lo:hi], column[lo:hi] - at] = 1
+        shared += slab @ slab.T
+    union = sizes[:, None] + sizes[None, :] - shared
+    x, y = np.nonzero(np.triu(den * shared >= num * union, 1))
+    parent = {c: c for c in labels}
+
+    def find(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    us, vs = [], []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = find(labels[i]), find(labels[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            us.append(reps[i])
+            vs.append(reps[j])
+    return us, vs
+
+
+def _block_links(around: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """u, v: links among the members around each hub. around: hub, rep, c (component), bin (of the distance to the hub)."""
+    counts = around.groupBy("hub", "bin").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    blocks_ = counts.select("hub", "bin", "parts", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
+    left = blocks_.select("hub", F.col("bin").alias("bin_a"), F.col("part").alias("part_a"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin_b"))
+    right = blocks_.select("hub", F.col("bin").alias("bin_b"), F.col("part").alias("part_b"))
+    pairs = left.join(right, ["hub", "bin_b"]).where((F.col("bin_a") < F.col("bin_b")) | (F.col("part_a") <= F.col("part_b")))
+    alone = (F.col("bin_a") == F.col("bin_b")) & (F.col("part_a") == F.col("part_b"))
+    pairs = pairs.withColumn("pair", F.struct("hub", "bin_a", "part_a", "bin_b", "part_b"))
+    sides = pairs.select("hub", "pair", F.explode(F.when(alone, F.array(F.struct(F.col("bin_a").alias("bin"), F.col("part_a").alias("part")))).otherwise(
+        F.array(F.struct(F.col("bin_a").alias("bin"), F.col("part_a").alias("part")), F.struct(F.col("bin_b").alias("bin"), F.col("part_b").alias("part")))
+    )).alias("s"))
+    sides = sides.select("hub", F.col("s.bin").alias("bin"), F.col("s.part").alias("part"), "pair")
+    placed = around.join(counts, ["hub", "bin"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = placed.select("hub", "bin", "part", "rep", "c").join(sides, ["hub", "bin", "part"]).select("pair", "rep", "c")
+    several = met.groupBy("pair").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("pair")
+    grouped = met.join(several, "pair").join(sets, "rep").select(F.to_json("pair").alias("pair"), "rep", "c", "shingles")
+
+    def link(table: pa.Table) -> pa.Table:
+        u, v = _forest(table, num, den)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return grouped.groupBy("pair").applyInArrow(link, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -123,44 +188,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     classes = named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("a", "b"), "doc_id").alias("h"))
     classes = materialize(classes.select("f1", "f2", F.col("n_shingles").alias("n"), "rep", "h.a", "h.b"), "classes")
     keyed = (
-        classes.select("rep", "n", "b", F.posexplode("a").alias("i", "x"))
-        .select("rep", "n", "i", "x", F.posexplode("b").alias("j", "y"))
-        .select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep", "n")
+        classes.select("rep", "b", F.posexplode("a").alias("i", "x"))
+        .select("rep", "i", "x", F.posexplode("b").alias("j", "y"))
+        .select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep")
     )
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).where("hub.rep != last")
-    members = keyed.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key")
-    members = materialize(members.select("key", "rep", "n", "hub", "hub_n"), "buckets")
-    near = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)  # noqa: E731  sizes alone may rule a link out
-    tested = materialize(members.where(F.col("rep") != F.col("hub")).where(near(F.col("n"), F.col("hub_n"))).select("hub", "rep").distinct(), "pairs")
+    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last")
+    members = materialize(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
+    asked = members.where(F.col("rep") != F.col("hub")).select("hub", "rep").distinct()
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     unique = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    texts = unique.join(needed.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = materialize(full_sets(texts, size), "sets").dropDuplicates(["rep"])
-    links = materialize(_confirm(tested, sets, num, den), "links")
+    texts = unique.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(full_sets(texts, size), "sets")
+    compared = materialize(_compared(asked, sets), "compared")
+    links = compared.where(den * F.col("shared") >= num * F.col("total")).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
     found = materialize(components(links), "components")
-    width = 1
-    while True:
-        labels = found.withColumnRenamed("node", "rep")
-        labelled = members.join(labels, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"))
-        mixed = mixed.where((F.col("low") != F.col("high")) & (F.col("size") > width + 1)).select("key")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-        open_ = materialize(labelled.join(mixed, "key").withColumn("rank", rank), "open")
-        if open_.isEmpty():
-            break
-        first = open_.where((F.col("rank") > width) & (F.col("rank") <= 2 * width))
-        first = first.select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"), F.col("rank").alias("hub_rank"))
-        pairs = open_.join(first, "key").where((F.col("rank") > F.col("hub_rank")) & (F.col("c") != F.col("hub_c")))
-        pairs = pairs.where(near(F.col("n"), F.col("hub_n"))).select("hub", "rep").distinct().join(tested, ["hub", "rep"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        width *= 2
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        more = materialize(_confirm(pairs, sets, num, den), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = materialize(components(links), "components")
+    labels = found.withColumnRenamed("node", "rep")
+    labelled = members.join(labels, "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = labelled.where(F.col("rep") != F.col("hub")).groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    around = labelled.join(mixed.select("key"), "key").where(F.col("rep") != F.col("hub")).select("hub", "rep", "c").distinct()
+    reach = 1 - num / den
+    distance = F.floor((1 - F.col("shared") / F.col("total")) / F.lit(reach + 1e-9)).cast("int")
+    around = materialize(around.join(compared.select("hub", "rep", distance.alias("bin")), ["hub", "rep"]), "around")
+    more = materialize(_block_links(around, sets, num, den), "links")
+    if not more.isEmpty():
+        found = materialize(components(links.unionByName(more)), "components")
     reached = classes.join(found, classes["rep"] == found["node"], "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("c"))
     out = sigs.select("doc_id", "n_shingles", "f1", "f2").join(reached, ["f1", "f2", "n_shingles"], "left")
     component = F.coalesce("c", "doc_id")
