@@ -64,7 +64,7 @@ def learn_codes(rows: DataFrame, d: int, sample_rows: int = 4000, recall: float
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
     x = _matrix(got["v"].combine_chunks(), d) if got.num_rows else np.zeros((0, d))
     mean = x.mean(0) if len(x) else np.zeros(d)
-    if len(x) < 2 * d:  # too few rows to learn axes from
+    if len(x) < max(2, 2 * d):  # too few rows to learn axes from
         return Codes(mean, np.tile(np.eye(d), ROTATIONS)[:, : -(-d * ROTATIONS // 8) * 8], d * ROTATIONS)
     centred = x - mean
     _, axes = np.linalg.eigh(centred.T @ centred)

@@ -120,9 +120,9 @@ def redact(docs: DataFrame, owner: str = "source") -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     may = text.rlike("|".join((ASSIGN, ACCESS_RUN, HEX_RUN, OWNED)))
     rest, docs = docs.where(~may), docs.where(may)  # most texts hold no candidate and stay out of the join
-    reported = scan_secrets(docs, owner).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
+    reported = scan_secrets(docs, owner).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans")).withColumnRenamed("key", "_reported")
     keyed = docs.withColumn("_key", F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 256))
-    joined = keyed.join(reported, keyed["_key"] == reported["key"], "left")
+    joined = keyed.join(reported, F.col("_key") == F.col("_reported"), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(held, s):
