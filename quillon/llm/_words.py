@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
 _seeded = np.random.Generator(np.random.PCG64(20240601))
@@ -28,7 +28,7 @@ def _power(kind: str, n: int) -> np.ndarray:
             have = np.full(size, _R if kind == "up" else _RINV, np.uint64)
             have[0] = 1
             have = np.multiply.accumulate(have)
-        if size <= 4 * BLOCK:  # a single huge text must not leave its tables behind
+        if size <= 8 * BLOCK:  # a single huge text must not leave its tables behind
             _powers[kind] = have
     return have[:n]
 

@@ -66,16 +66,21 @@ def _bags(column):
         yield a, z, of, buckets
 
 
-def _fit(rows: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.ndarray, prior: float, epochs: int, rate: float, decay: float):
-    """rows, buckets, counts: the sparse bags, by row. Adam over all of them; returns the margin of each bucket and the bias."""
-    n = len(toxic)
+def _fit(bags: pa.Table, prior: float, epochs: int, rate: float, decay: float):
+    """bags: toxic, buckets and counts of each row. Adam over all of them; returns the margin of each bucket and the bias."""
+    n, toxic = bags.num_rows, bags["toxic"].to_numpy() > 0
+    lists = bags["buckets"].combine_chunks()
+    rows = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy())
+    buckets, counts = lists.flatten().to_numpy(), bags["counts"].combine_chunks().flatten().to_numpy()
+    del bags, lists  # the driver holds each bag once
     common = np.bincount(buckets, minlength=BUCKETS) >= LEAST_ROWS  # what a few rows have alone tells nothing of others
     kept = common[buckets]
     total = np.bincount(rows, counts, n)
-    value = (GAIN * counts / np.maximum(total[rows], 1)).astype(np.float32)[kept]
-    rows = rows[kept].astype(np.int32)
+    value = (np.float32(GAIN) * counts[kept].astype(np.float32)) / np.maximum(total, 1).astype(np.float32)[rows[kept]]
+    rows = rows[kept]
     used = np.flatnonzero(common)
     column = (np.cumsum(common, dtype=np.int32) - 1)[buckets[kept]]
+    del buckets, counts, kept
     if not len(used):
         return np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
     random = np.random.Generator(np.random.PCG64(7))
@@ -87,6 +92,7 @@ def _fit(rows: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.nd
     by_column = np.argsort(column, kind="stable").astype(np.int32)
     column_at = np.searchsorted(column[by_column], np.arange(len(used)))
     rows_by_column, value_by_column = rows[by_column], value[by_column]
+    del rows, by_column
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, top, bias)]
     for epoch in range(1, epochs + 1):
         mean = np.zeros((n, DIM), np.float32)
@@ -133,13 +139,12 @@ def fit_toxicity(
                 lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (key % BUCKETS, counts)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, z - a) for k in (0, 1)), *lists], names=["id", "toxic", "buckets", "counts"])
 
-    got = map_arrow(chosen, bags, "id long, toxic int, buckets array<int>, counts array<int>").toArrow().sort_by("id")
+    got = map_arrow(chosen, bags, "id long, toxic int, buckets array<int>, counts array<int>").toArrow()
     if not got.num_rows:
         return ToxicityModel(np.zeros(BUCKETS, np.int32), float(np.log(prior / (1 - prior))))
-    lists = got["buckets"].combine_chunks()
-    rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), lists.value_lengths().to_numpy())
-    toxic = got["toxic"].to_numpy() > 0
-    margins, bias = _fit(rows, lists.flatten().to_numpy(), got["counts"].combine_chunks().flatten().to_numpy(), toxic, prior, epochs, rate, decay)
+    held = [got.sort_by("id")]
+    del got
+    margins, bias = _fit(held.pop(), prior, epochs, rate, decay)
     return ToxicityModel(np.rint(margins * SCALE).astype(np.int32), bias)
 
 
