@@ -67,20 +67,22 @@ def _bags(column):
 
 
 def _fit(bags: pa.Table, prior: float, epochs: int, rate: float, decay: float):
-    """bags: toxic, buckets and counts of each row. Adam over all of them; returns the margin of each bucket and the bias."""
+    """bags: toxic, buckets and values (shares of the bag) of each row. Adam over all of them; returns the margin of each bucket and the bias."""
     n, toxic = bags.num_rows, bags["toxic"].to_numpy() > 0
     lists = bags["buckets"].combine_chunks()
-    rows = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy())
-    buckets, counts = lists.flatten().to_numpy(), bags["counts"].combine_chunks().flatten().to_numpy()
-    del bags, lists  # the driver holds each bag once
-    common = np.bincount(buckets, minlength=BUCKETS) >= LEAST_ROWS  # what a few rows have alone tells nothing of others
+    rows = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.int32), lists.value_lengths().to_numpy())
+    buckets = lists.flatten().to_numpy().view(np.uint16)
+    value = bags["values"].combine_chunks().flatten().to_numpy()
+    del bags, lists
+    common = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(buckets), W.BLOCK):  # bincount widens what it is given
+        common += np.bincount(buckets[at : at + W.BLOCK], minlength=BUCKETS)
+    common = common >= LEAST_ROWS  # what a few rows have alone tells nothing of others
     kept = common[buckets]
-    total = np.bincount(rows, counts, n)
-    value = (np.float32(GAIN) * counts[kept].astype(np.float32)) / np.maximum(total, 1).astype(np.float32)[rows[kept]]
-    rows = rows[kept]
+    rows, value = rows[kept], np.float32(GAIN) * value[kept]
     used = np.flatnonzero(common)
-    column = (np.cumsum(common, dtype=np.int32) - 1)[buckets[kept]]
-    del buckets, counts, kept
+    column = (np.cumsum(common) - 1).astype(np.uint16)[buckets[kept]]
+    del buckets, kept
     if not len(used):
         return np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
     random = np.random.Generator(np.random.PCG64(7))
@@ -136,10 +138,12 @@ def fit_toxicity(
             for a, z, of, buckets in _bags(batch.column(2)):
                 key, counts = np.unique(of * BUCKETS + buckets, return_counts=True)
                 bounds = np.searchsorted(key, np.arange(z - a + 1) * BUCKETS).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (key % BUCKETS, counts)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, z - a) for k in (0, 1)), *lists], names=["id", "toxic", "buckets", "counts"])
+                values = counts / np.bincount(of, minlength=z - a)[key // BUCKETS]
+                parts = ((key % BUCKETS).astype(np.uint16).view(np.int16), values.astype(np.float32))
+                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in parts]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, z - a) for k in (0, 1)), *lists], names=["id", "toxic", "buckets", "values"])
 
-    got = map_arrow(chosen, bags, "id long, toxic int, buckets array<int>, counts array<int>").toArrow()
+    got = map_arrow(chosen, bags, "id long, toxic int, buckets array<short>, values array<float>").toArrow()
     if not got.num_rows:
         return ToxicityModel(np.zeros(BUCKETS, np.int32), float(np.log(prior / (1 - prior))))
     held = [got.sort_by("id")]
