@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ VAGUE_PREFIXES = {
 POINTS = {"participant_mention": 4, "place_mention": 3, "time_mention": 2, "event_mention": 3, "action_candidate": 2, "object_candidate": 1}
 CORE = ("participant_mention", "place_mention", "time_mention", "event_mention")
 GAP_MS = 2200
+CELLS, BATCH = 1 << 20, 1 << 16
 
 
 def gap_sessions(rows: DataFrame, key: str, start: str, end: str, gap: float = GAP_MS, contributes=None) -> DataFrame:
@@ -80,27 +85,81 @@ def profiles(observations: DataFrame, language: str = "en") -> DataFrame:
 def pairs(fragments: DataFrame, signals: DataFrame) -> DataFrame:
     """All unordered fragment pairs of a group with points, dimensions and status.
 
-    Signals are joined first and added up by pair; the complete list of pairs (needed as pairs without evidence count) is
-    joined to that. candidate: two dimensions or more, one of them core; weak: any; insufficient: none.
+    candidate: two dimensions or more, one of them core; weak: any; insufficient: none.
     """
-    rows = signals.select("group_id", "fragment_id", "observation_type", "normalized").distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    equal = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("group_id", "observation_type", "normalized")]
-    point = F.coalesce(*[F.when(F.col("a.observation_type") == k, F.lit(v)) for k, v in POINTS.items()])
-    shared = a.join(b, [*equal, F.col("a.fragment_id") < F.col("b.fragment_id")]).select(
-        F.col("a.group_id").alias("group_id"), F.col("a.fragment_id").alias("left_id"), F.col("b.fragment_id").alias("right_id"), F.col("a.observation_type").alias("kind"), point.alias("point")
-    )
-    scored = shared.groupBy("group_id", "left_id", "right_id").agg(
-        F.sum("point").cast("long").alias("points"), F.array_sort(F.collect_set("kind")).alias("dimensions"), F.max(F.col("kind").isin(*CORE)).alias("core")
-    )
-    left = fragments.select("group_id", F.col("fragment_id").alias("left_id"))
-    right = fragments.select("group_id", F.col("fragment_id").alias("right_id"))
-    every = left.join(right, "group_id").where("left_id < right_id")
-    out = every.join(scored, ["group_id", "left_id", "right_id"], "left")
-    status = F.when((F.size("dimensions") >= 2) & F.col("core"), "candidate").when(F.size("dimensions") >= 1, "weak").otherwise("insufficient")
-    return out.select(
-        "group_id", "left_id", "right_id", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce(F.array_join("dimensions", ","), F.lit("")).alias("dimensions"), status.alias("status")
-    )
+    return _compared(fragments, signals, every=True)
+
+
+def evidence(signals: DataFrame) -> DataFrame:
+    """The pairs of `pairs` that share a signal; those without are never made."""
+    return _compared(signals, signals, every=False)
+
+
+def _compared(fragments: DataFrame, signals: DataFrame, every: bool) -> DataFrame:
+    """One pass a group: its fragments and signals are shuffled, its pairs are not.
+
+    Blocks of fragments meet all later ones through the lists of fragments that hold a signal, so memory stays at CELLS
+    pairs and shared signals at a time, or one fragment's pairs.
+    """
+    rows = signals.select("group_id", "fragment_id", F.col("observation_type").alias("kind"), "normalized").distinct()
+    if every:
+        none = F.lit(None).cast("string")
+        rows = rows.union(fragments.select("group_id", "fragment_id", none, none))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        group = table["group_id"][0].as_py()
+        ids, at = np.unique(table["fragment_id"].to_numpy(), return_inverse=True)
+        table = table.append_column("at", pa.array(at.ravel(), pa.int64())).filter(pc.is_valid(table["kind"]))
+        kinds = sorted(table["kind"].unique().to_pylist())
+        n, kind = len(ids), pc.index_in(table["kind"], pa.array(kinds, pa.string())).to_numpy()
+        at, value = table["at"].to_numpy(), table["normalized"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, signal = np.unique(value * max(len(kinds), 1) + kind, return_inverse=True)
+        order = np.lexsort((at, signal.ravel()))
+        holder = at[order]  # by signal, then fragment
+        ends = np.cumsum(np.bincount(signal.ravel()))
+        # Of each signal in a fragment: where the list of later fragments that hold it begins, and its length.
+        first = np.arange(1, len(order) + 1)
+        later = ends[signal.ravel()[order]] - first
+        by = np.argsort(holder, kind="stable")
+        first, later, kind, owner = first[by], later[by], kind[order][by], holder[by]
+        begin = np.searchsorted(owner, np.arange(n + 1))
+        work = np.concatenate([[0], np.cumsum(later)])
+        low = 0
+        while low < n:
+            high = low + 1
+            while high < n and (high + 1 - low) * n <= CELLS and work[begin[high + 1]] - work[begin[low]] <= CELLS:
+                high += 1
+            points, seen = np.zeros((high - low) * n, np.int64), np.zeros((high - low) * n, np.int64)
+            for k, name in enumerate(kinds):
+                own = np.arange(begin[low], begin[high])
+                own = own[(kind[own] == k) & (later[own] > 0)]
+                for part in np.array_split(own, 1 + int(later[own].sum() // CELLS)):
+                    total = later[part].sum()
+                    step = np.arange(total) - np.repeat(np.cumsum(later[part]) - later[part], later[part])
+                    cell = np.repeat((owner[part] - low) * n, later[part]) + holder[np.repeat(first[part], later[part]) + step]
+                    shared = np.bincount(cell, minlength=len(points))
+                    points += shared * POINTS.get(name, 0)
+                    seen |= (shared > 0).astype(np.int64) << k
+            cell = np.arange(len(points)) if every else np.flatnonzero(seen)
+            left, right = cell // n + low, cell % n
+            keep = left < right
+            left, right, cell = left[keep], right[keep], cell[keep]
+            masks, which = np.unique(seen[cell], return_inverse=True)
+            names = [[x for k, x in enumerate(kinds) if m >> k & 1] for m in masks.tolist()]
+            status = ["candidate" if len(x) >= 2 and set(x) & set(CORE) else "weak" if x else "insufficient" for x in names]
+            which = pa.array(which.ravel(), pa.int32())
+            for i in range(0, len(cell), BATCH):
+                j = slice(i, i + BATCH)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "group_id": pa.array([group] * len(cell[j]), pa.int64()), "left_id": pa.array(ids[left[j]], pa.int64()), "right_id": pa.array(ids[right[j]], pa.int64()),
+                        "points": pa.array(points[cell[j]], pa.int64()), "dimensions": pa.array([",".join(x) for x in names], pa.string()).take(which[j]), "status": pa.array(status, pa.string()).take(which[j]),
+                    }
+                )
+            low = high
+
+    return rows.groupBy("group_id").applyInArrow(score, "group_id long, left_id long, right_id long, points long, dimensions string, status string")
 
 
 def incomplete_groups(fragments: DataFrame, compared: DataFrame) -> DataFrame:
@@ -137,10 +196,17 @@ def components(fragments: DataFrame, edges: DataFrame) -> DataFrame:
 def cliques(edges: DataFrame) -> DataFrame:
     """group_id and members (sorted) of every maximal clique of two or more, by branch and bound with pivots, a group at a time.
 
-    A group is one document's fragments; its clique search has no set-based form.
+    A group is one document's fragments; its clique search has no set-based form. Cliques leave in batches, as a group can have
+    exponentially many.
     """
 
-    def search(table: pa.Table) -> pa.Table:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        group = table["group_id"][0].as_py()
+
+        def rows(found):
+            return pa.RecordBatch.from_pydict({"group_id": pa.array([group] * len(found), pa.int64()), "members": pa.array(found, pa.list_(pa.int64()))})
+
         near: dict[int, set[int]] = {}
         for a, b in zip(table["left_id"].to_pylist(), table["right_id"].to_pylist(), strict=True):
             near.setdefault(a, set()).add(b)
@@ -151,15 +217,16 @@ def cliques(edges: DataFrame) -> DataFrame:
             if not open_:
                 if not shut and len(chosen) > 1:
                     found.append(sorted(chosen))
+                    if len(found) == BATCH:
+                        yield rows(found)
+                        found = []
                 continue
             pivot = max(open_ | shut, key=lambda v: (len(near[v] & open_), -v))
             for v in sorted(open_ - near[pivot]):
                 stack.append(((*chosen, v), open_ & near[v], shut & near[v]))
                 open_ = open_ - {v}
                 shut = shut | {v}
-        found.sort()
-        group = table["group_id"][0].as_py() if table.num_rows else None
-        return pa.table({"group_id": pa.array([group] * len(found), pa.int64()), "members": pa.array(found, pa.list_(pa.int64()))})
+        yield rows(found)
 
     return edges.select("group_id", "left_id", "right_id").groupBy("group_id").applyInArrow(search, "group_id long, members array<long>")
 

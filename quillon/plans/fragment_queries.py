@@ -34,8 +34,8 @@ _LINES += """) THEN 'generic_action' WHEN observation_type = 'object_candidate'
 
 
 def _fragments(t):
-    lines = D.blocks(t.documents.where("doc_id % 4 = 0")).where("block_index <= 12")
-    return lines.select(F.col("doc_id").alias("group_id"), (F.col("doc_id") * 1000 + F.col("block_index")).alias("fragment_id"), "block")
+    """Every non-blank line of every document; its index is its id, which is unique within the group."""
+    return D.blocks(t.documents).select(F.col("doc_id").alias("group_id"), F.col("block_index").cast("long").alias("fragment_id"), "block")
 
 
 def _observations(t):
@@ -78,7 +78,7 @@ def fragment_pairs_status(t):
 
 
 def _edges(t):
-    return _pairs(t).where("status = 'candidate' and points >= 12")
+    return G.evidence(G.profiles(_observations(t))).where("status = 'candidate' and points >= 12")
 
 
 @query(
