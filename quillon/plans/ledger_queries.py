@@ -13,10 +13,6 @@ _USERS = "u AS (SELECT DISTINCT user_id FROM events UNION SELECT unnest(range(10
 _STATES = ["new", "retry", "exhausted", "restricted", "succeeded"]
 
 
-def _attempts(t):
-    return t.events.where("event_id % 7 < 2 and user_id % 5 <> 0")
-
-
 def _users(t):
     return t.events.select("user_id").distinct().union(t.spark.range(1000000, 1000005).toDF("user_id"))
 
@@ -28,7 +24,7 @@ _STATE_SQL = f"""WITH {_USERS}, a AS (SELECT * FROM events WHERE event_id % 7 <
 
 
 def _states(t):
-    return L.attempt_states(_users(t), _attempts(t).where("event_id % 11 = 0"), "user_id", "event_type", "purchase", "error", 3)
+    return L.attempt_states(_users(t), t.events, "user_id", "event_type", "purchase", "error", 3)
 
 
 @query(_STATE_SQL + " SELECT user_id, attempts, state FROM z")
@@ -191,7 +187,7 @@ def _not_entities(t):
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     k = F.col("o_orderkey")
-    rows = t.orders.where("o_orderkey % 5 = 0").select(
+    rows = t.orders.select(
         F.col("o_custkey").alias("seed_id"), k.alias("decision_id"), (F.row_number().over(w) + F.when(k % 97 == 0, 1).otherwise(0)).alias("revision"),
         F.when(F.col("o_orderstatus") == "P", "not_entity").when(F.col("o_orderstatus") == "F", "revoked").otherwise("assigned").alias("status"),
         F.when(k % 89 == 0, "exact").otherwise("single").alias("scope"), F.when((F.col("o_orderstatus") == "O") | (k % 61 == 0), F.col("o_custkey")).alias("entity_id"),
