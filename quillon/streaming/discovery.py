@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,28 @@ def after_cursor(items: DataFrame, cursors: DataFrame, id_: str = "item_id") ->
     return held.join(items, F.col(id_) > F.col("cursor"))
 
 
+def counts_after(items: DataFrame, cursors: DataFrame, id_: str = "item_id", parts: int = 200) -> DataFrame:
+    """subscriber_id, n and newest of after_cursor's rows, without making them: items beyond a cursor are counted from the top.
+
+    Ids and cursors are dealt by value into parts; within one a running count is exact, and the items of all higher parts are
+    added. Bounds and these totals are taken once, so every row is dealt by the same ones.
+    """
+    ids = items.select(F.col(id_).alias("v")).where("v is not null")
+    known = ids.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)]).alias("bounds"), F.max("v").alias("newest")).first()
+    bounds = sorted(set(known["bounds"] or []))
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("v"))) if bounds else F.lit(0)
+    held = {r["part"]: r["count"] for r in ids.groupBy(part.alias("part")).count().collect()}
+    higher = F.array(*[F.lit(sum(n for p, n in held.items() if p > i)).cast("long") for i in range(len(bounds) + 1)])
+    newest = F.lit(known["newest"])
+    # Without a cursor a subscriber starts at the newest item, so nothing is beyond; the same holds from there on.
+    behind = cursors.where(F.col("cursor") < newest).select("subscriber_id", F.col("cursor").alias("v"))
+    marks = ids.groupBy("v").agg(F.count("*").alias("n")).union(behind.select("v").distinct().select("v", F.lit(0).cast("long")))
+    marks = marks.groupBy("v").agg(F.sum("n").alias("n")).withColumn("part", part)
+    above = F.sum("n").over(Window.partitionBy("part").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1))
+    counted = marks.select("v", (F.coalesce(above, F.lit(0)) + F.get(higher, F.col("part"))).alias("n"))
+    return behind.join(counted, "v").groupBy("subscriber_id").agg(F.sum("n").alias("n"), F.max(newest).alias("newest"))
+
+
 def advanced(cursors: DataFrame, delivered: DataFrame, id_: str = "item_id") -> DataFrame:
     """Cursors after acknowledgement; they never go back."""
     most = delivered.groupBy("subscriber_id").agg(F.max(id_).alias("top"))
