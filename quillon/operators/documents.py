@@ -131,16 +131,20 @@ def excerpt(content: Column, summary: Column, limit: int) -> tuple[Column, Colum
 def pack_messages(items: DataFrame, limit: int = 3900) -> DataFrame:
     """channel, message, n_items, n_chars: items in order go into messages of at most limit characters, two line breaks between.
 
-    A greedy fold depends on all items before, so each channel is folded in one pass.
+    An item longer than limit goes on over several messages and counts in each. A greedy fold depends on all items before, so
+    each channel is folded in one pass.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, used, n, message = [], 0, 0, 0
         for size in pdf.sort_values(["item"])["size"].tolist():
-            size = min(int(size), limit)
+            size = int(size)
             if n and used + 2 + size > limit:
                 rows.append((message, n, used))
                 used, n, message = 0, 0, message + 1
+            while size > limit:
+                rows.append((message, 1, limit))
+                size, message = size - limit, message + 1
             used += size + (2 if n else 0)
             n += 1
         if n:

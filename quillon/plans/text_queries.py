@@ -142,7 +142,7 @@ def heading_sections(t):
 
 @query()
 def message_packing(t):
-    items = t.documents.select(F.col("source").alias("channel"), F.col("doc_id").alias("item"), F.least(F.length("text"), F.lit(900)).alias("size"))
+    items = t.documents.select(F.col("source").alias("channel"), F.col("doc_id").alias("item"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
     return D.pack_messages(items)
 
 
