@@ -3,8 +3,8 @@
 Four kinds of spans are found in each text (code points, end exclusive). Three are base kinds: an assignment to a
 credential-like name, an access key id, a hexadecimal run. The fourth, `owned`, is a candidate of the method: a long mixed
 token that no base span touches. The hash of every found value is aggregated over the corpus by distinct repositories
-and distinct owners: a value that many owners or repositories hold is a copied example, one that a single owner holds in
-few repositories looks live. Base spans are always reported, with their class; an `owned` candidate is reported only
+and distinct owners: a value that many owners hold is a copied example, one that a single owner holds looks live, in however
+many of its repositories; where the owner is null, only in few. Base spans are always reported, with their class; an `owned` candidate is reported only
 where it looks live.
 
 A repository is a document, its owner is the value of `source`; both are parameters. Values are compared by sha2.
@@ -80,16 +80,16 @@ def find_candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 def classify(found: DataFrame, many_owners: int = 2, many_repos: int = 3) -> DataFrame:
     """Of each value's hash: in how many repositories and with how many owners it is, and whether it looks live.
 
-    Counts go value-repository, value-owner, value, each combined before its shuffle, so no value's rows meet in one task.
+    One known owner's value is live in however many of its documents; documents without an owner may be several owners', so
+    there the number of repositories decides. Counts go value-repository, value-owner, value, each combined before its shuffle, so no value's rows meet in one task.
     """
     seen = found.select("doc_id", "owner", F.explode(F.concat("base", "owned")).alias("s")).select(
         "doc_id", "owner", F.unhex(F.sha2(F.col("s.value"), 256)).alias("h")
     )
     repos = seen.distinct()
     owners = repos.groupBy("h", "owner").agg(F.count("*").alias("n"))
-    return owners.groupBy("h").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners")).withColumn(
-        "live", (F.col("n_owners") < many_owners) & (F.col("n_repos") < many_repos)
-    )
+    counted = owners.groupBy("h").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"), (F.max("owner") != "").alias("known"))
+    return counted.withColumn("live", (F.col("n_owners") < many_owners) & (F.col("known") | (F.col("n_repos") < many_repos))).drop("known")
 
 
 def scan_secrets(docs: DataFrame, owner: str = "source", many_owners: int = 2, many_repos: int = 3) -> DataFrame:
