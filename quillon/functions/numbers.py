@@ -6,8 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from quillon.shipping import packaged
 
 from .text import column
 
@@ -71,17 +75,27 @@ def simhash64(tokens) -> Column:
     """64-bit SimHash of five-token shingles (of the tokens themselves if fewer): big-endian SHA-256 heads, ties set the bit.
 
     Counting 64 bits over all shingles has no built-in form that hashes each shingle once, so this one is an Arrow function.
+    It is made when it is asked for: its type needs no session then, and none is needed to import this module.
     """
-    return _simhash(column(tokens))
+    packaged()
+    return F.arrow_udf(_simhash, LongType())(column(tokens))
 
 
-@F.arrow_udf("long")
 def _simhash(tokens: pa.Array) -> pa.Array:
-    out = []
-    for row in tokens:
-        words = row.as_py() or []
-        parts = words if len(words) < 5 else ["\0".join(words[i : i + 5]) for i in range(len(words) - 4)]
-        heads = np.frombuffer(b"".join(hashlib.sha256(p.encode()).digest()[:8] for p in parts), np.uint8).reshape(len(parts), 8)
-        bits = np.unpackbits(heads, axis=1).sum(0, dtype=np.int64) * 2 >= len(parts) if parts else np.zeros(64, bool)
-        out.append(int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True))
-    return pa.array(out, pa.int64())
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = tokens.flatten().to_pylist()
+    ends = np.cumsum(sizes)
+    whole = np.flatnonzero(np.repeat(ends, sizes) - np.arange(len(words)) >= 5) if len(words) else np.zeros(0, np.int64)
+    short = np.flatnonzero(np.repeat(sizes < 5, sizes))
+    at = np.concatenate([whole, short])
+    parts = ["\0".join(words[i : i + 5]) for i in whole.tolist()] + [words[i] for i in short.tolist()]
+    order = np.argsort(at, kind="stable")
+    row = np.repeat(np.arange(len(sizes)), sizes)[at[order]]
+    heads = np.frombuffer(b"".join(hashlib.sha256(p.encode()).digest()[:8] for p in parts), np.uint8).reshape(-1, 8)[order]
+    held, first = np.unique(row, return_index=True)
+    ones = np.zeros((len(sizes), 64), np.int64)
+    for k in range(8) if len(held) else ():
+        ones[held, 8 * k : 8 * k + 8] = np.add.reduceat(np.unpackbits(heads[:, k : k + 1], axis=1).astype(np.int64), first)
+    n = np.bincount(row, minlength=len(sizes))
+    bits = (ones * 2 >= n[:, None]) & (n[:, None] > 0)
+    return pa.array(np.packbits(bits, axis=1).view(">i8").reshape(-1).astype(np.int64))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.shipping import packaged
 
 # The marker lexicons, the first-person plural and third-person plural forms, the formulaic phrases.
 CERTAINTY = ("certainly", "clearly", "definitely", "inevitably", "must", "obvious", "proven", "undoubtedly", "will")
@@ -153,4 +154,5 @@ def pack_messages(items: DataFrame, limit: int = 3900) -> DataFrame:
         out.insert(0, "channel", pdf["channel"].iloc[0])
         return out
 
+    packaged()
     return items.groupBy("channel").applyInPandas(fold, "channel string, message long, n_items long, n_chars long")

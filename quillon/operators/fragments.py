@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.shipping import packaged
+
 # Actions too general to compare by, words that make an object vague, and evidence points by observation type.
 GENERIC_ACTIONS = {
     "en": (
@@ -159,6 +161,7 @@ def _compared(fragments: DataFrame, signals: DataFrame, every: bool) -> DataFram
                 )
             low = high
 
+    packaged()
     return rows.groupBy("group_id").applyInArrow(score, "group_id long, left_id long, right_id long, points long, dimensions string, status string")
 
 
@@ -188,6 +191,7 @@ def components(fragments: DataFrame, edges: DataFrame) -> DataFrame:
         group = [table["group_id"][0].as_py()] * len(nodes)
         return pa.table({"group_id": pa.array(group, pa.int64()), "fragment_id": pa.array(nodes, pa.int64()), "component": pa.array([find(x) for x in nodes], pa.int64())})
 
+    packaged()
     joined = edges.select("group_id", "left_id", "right_id").groupBy("group_id").applyInArrow(join, "group_id long, fragment_id long, component long")
     out = fragments.select("group_id", "fragment_id").join(joined, ["group_id", "fragment_id"], "left")
     return out.withColumn("component", F.coalesce("component", "fragment_id"))
@@ -228,6 +232,7 @@ def cliques(edges: DataFrame) -> DataFrame:
                 shut = shut | {v}
         yield rows(found)
 
+    packaged()
     return edges.select("group_id", "left_id", "right_id").groupBy("group_id").applyInArrow(search, "group_id long, members array<long>")
 
 

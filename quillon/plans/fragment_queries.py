@@ -19,9 +19,9 @@ def cue_gap_sessions(t):
     return G.gap_sessions(rows.withColumn("end_ms", F.col("at_ms")), "user_id", "at_ms", "end_ms", 12 * 3600 * 1000).drop("end_ms")
 
 
-_LINES = """l0 AS (SELECT doc_id, i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id % 4 = 0) WHERE trim(line, ' ') <> ''),
+_LINES = """l0 AS (SELECT doc_id, i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(line, ' ') <> ''),
     l AS (SELECT doc_id AS group_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS b, trim(line, ' ') AS block FROM l0),
-    f AS (SELECT group_id, group_id * 1000 + b AS fragment_id, block FROM l WHERE b <= 12),
+    f AS (SELECT group_id, b AS fragment_id, block FROM l),
     ow AS (SELECT group_id, fragment_id, unnest(w) AS surface, unnest(range(len(w))) AS j FROM (SELECT *, regexp_extract_all(block, '[A-Za-z]+') AS w FROM f)),
     o AS (SELECT group_id, fragment_id, j AS observation_id, surface, lower(surface) AS normalized, CASE WHEN regexp_matches(surface, '^[A-Z]') THEN 'participant_mention'
       WHEN length(surface) <= 3 THEN 'action_candidate' WHEN length(surface) % 2 = 0 THEN 'object_candidate' ELSE 'place_mention' END AS observation_type,

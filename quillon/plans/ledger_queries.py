@@ -17,8 +17,7 @@ def _users(t):
     return t.events.select("user_id").distinct().union(t.spark.range(1000000, 1000005).toDF("user_id"))
 
 
-_STATE_SQL = f"""WITH {_USERS}, a AS (SELECT * FROM events WHERE event_id % 7 < 2 AND user_id % 5 <> 0),
-    s AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS ok, count(*) FILTER (WHERE event_type = 'error') AS bad FROM a WHERE event_id % 11 = 0 GROUP BY 1),
+_STATE_SQL = f"""WITH {_USERS}, s AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS ok, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY 1),
     z AS (SELECT u.user_id, coalesce(n, 0) AS attempts, CASE WHEN ok > 0 THEN 'succeeded' WHEN bad > 0 THEN 'restricted' WHEN n >= 3 THEN 'exhausted' WHEN n > 0 THEN 'retry' ELSE 'new' END AS state
       FROM u LEFT JOIN s USING (user_id))"""
 
@@ -174,7 +173,7 @@ def entity_safety(t):
 _NOT = """n0 AS (SELECT o_custkey AS seed_id, o_orderkey AS decision_id, row_number() OVER w + CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS revision,
       CASE o_orderstatus WHEN 'P' THEN 'not_entity' WHEN 'F' THEN 'revoked' ELSE 'assigned' END AS status, CASE WHEN o_orderkey % 89 = 0 THEN 'exact' ELSE 'single' END AS scope,
       CASE WHEN o_orderstatus = 'O' OR o_orderkey % 61 = 0 THEN o_custkey END AS entity_id, CASE WHEN o_orderkey % 53 = 0 THEN ' ' ELSE o_orderpriority END AS reason
-      FROM orders WHERE o_orderkey % 5 = 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+      FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
     n1 AS (SELECT *, lag(status) OVER w AS previous, first_value(scope) OVER w AS first_scope, row_number() OVER w AS n, row_number() OVER (PARTITION BY seed_id ORDER BY revision DESC, decision_id DESC) AS r FROM n0
       WINDOW w AS (PARTITION BY seed_id ORDER BY revision, decision_id)),
     n2 AS (SELECT seed_id, decision_id, status, CASE WHEN revision <> n THEN 'revision_gap' WHEN scope <> first_scope THEN 'scope_changed' WHEN status = 'not_entity' AND entity_id IS NOT NULL THEN 'entity_on_not_entity'

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quillon.operators import transcripts as X
+from quillon.shipping import shared_folder
 from quillon.sources import feeds
 from quillon.streaming import discovery as S
 
@@ -21,12 +21,11 @@ def _stream(t):
 
 
 def _folder(t) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drained(t, stream, mode="append"):
-    return S.drain(stream, f"s_{uuid.uuid4().hex}", _folder(t), mode)
+    return S.drain(stream, _folder(t), mode)
 
 
 @query("SELECT event_type, user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS times_seen FROM events GROUP BY 1, 2")
@@ -53,7 +52,7 @@ def stream_session(t):
 
 
 @query(
-    """WITH c AS (SELECT c_custkey AS subscriber_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey * 6 END AS cursor FROM customer WHERE c_custkey <= 60), m AS (SELECT max(event_id) AS top FROM events)
+    """WITH c AS (SELECT c_custkey AS subscriber_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey * 6 END AS cursor FROM customer), m AS (SELECT max(event_id) AS top FROM events)
     SELECT subscriber_id, count(*) AS n, max(event_id) AS newest FROM (SELECT subscriber_id, coalesce(cursor, top) AS cursor FROM c, m) JOIN events ON event_id > cursor GROUP BY 1"""
 )
 def stream_cursor(t):

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.shipping import packaged
+
 ENTRY = "endpoint_id long, external_id string, title string, link string, published string, summary string"
 
 
@@ -46,6 +48,7 @@ def entries(feeds: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([e for k, x in zip(pdf["endpoint_id"], pdf["xml"], strict=True) for e in of(k, x)], columns=names)
 
+    packaged()
     return feeds.select("endpoint_id", "xml").mapInPandas(run, ENTRY)
 
 

@@ -27,13 +27,25 @@ def sessions(stream: DataFrame, at: str, delay: str, gap: str, *key: str) -> Dat
     return w.select(F.col("w.start").alias("session_start"), *key, "n")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its table in memory; for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and return what it wrote to folder: every batch in append mode, the last in complete mode.
+
+    A batch that runs again overwrites its own files. Nothing is gathered in the driver.
+    """
+    last: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        last[:] = [*(last if mode == "append" else ()), *([number] if number not in last else ())]
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/{n}" for n in sorted(set(last))])
 
 
 def write_changes(stream: DataFrame, path: str, checkpoint: str, *key: str):
