@@ -179,14 +179,6 @@ def test_lm_counts_and_probabilities(docs, spark):
     assert lmscore.score_texts(empty(docs), F.lit(True)).count() == 0
 
 
-def test_lm_bits_are_a_distribution():
-    model = lmscore.MixingModel(np.zeros((int(lmscore._BASE[-1]), 2), np.int32), np.zeros(lmscore.SIZES[4], np.uint16))
-    model.counts[:] = np.random.default_rng(0).integers(0, 50, model.counts.shape)
-    p = 10 ** lmscore._log10(model, lmscore._frozen(model), [bytes([b]) for b in range(256) if b not in (10, 32)])
-    ends = 10 ** lmscore._log10(model, lmscore._frozen(model), [b"\n"])
-    assert p.sum() + ends.sum() <= 1 + 1e-9
-
-
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(4)
     rows, n = [], 0
