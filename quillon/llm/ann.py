@@ -1,24 +1,33 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-Learning: the mean, principal axes and `ROTATIONS` rotations (each refined so that its signs lose least, alternating signs and
-an orthogonal fit) come from a bounded sample: `sample_rows` vectors of the smallest hashes of vec_id. A code has one bit for
-each axis and rotation. The radius is the one within which a share `recall` of the sample's own nearest pairs lies.
-
-Index: every row, in blocks of `BLOCK_ROWS`; a block holds ids, vectors, codes and, for each 8-bit substring of the codes, its
-rows in order of the substring with the bounds of the 256 buckets. It is written as a table.
-
-Search: by pigeonhole a code within radius r of m substrings differs by r // m or less in some substring, so all buckets
-within that distance are probed in every substring; what they hold is kept within the radius by full Hamming distance and
-reranked by the exact Euclidean distance. Where a block has fewer than k such rows, the radius grows until it has them, so a
-query always gets k answers if there are k candidates. Queries meet index blocks in blocks, by an equal key.
-
-Edge cases: vectors that are null, of zero length, of another size than most, or hold null or non-finite components take no
-part, nor do rows without vec_id; a query's own row (equal vec_id) is no answer; repeated rows count once; ties go to the
+Learning: the mean, principal axes and rotations (each refined so that its signs lose least, alternating signs and an
+orthogonal fit) come from a bounded sample: `sample_rows` vectors of the smallest hashes of vec_id. A code has a bit for each
+rotated axis and is cut into substrings of about log2(rows) - 3 bits, so that a value of a substring holds about eight rows whatever
+the number of rows. Of `tuned` sample vectors the true neighbours are found in one pass over all rows; from their codes come
+the number of substrings, the reach and the number of loose bits: the cheapest for which a share `recall` of true neighbours
+is met by some probe.
+
+Index: a row for each distinct vector and substring, keyed by position and value, for every vector.
+
+Search: a query's probes are, in each substring, all values within the reach of its own, and all that differ from it in loose
+bits alone, which are those its vector lies closest to the border of. They meet the index in an equi-join. By pigeonhole every
+code that differs in fewer than substrings * (reach + 1) bits is met; the loose bits, whose signs neighbours most often
+disagree in, meet most of those beyond. What is met stays if its first CHECK bits are within a radius that keeps nearly all
+true neighbours, and is reranked by the exact Euclidean distance. Queries that have fewer answers than they could search again
+with a larger reach and no radius, in the end over everything.
+
+Vectors that are equal are one entry with their smallest ids (one more than are asked for; no answer can need others), so a
+vector that many rows share is no hot key. Keys are as many as rows, so none is hot unless texts' vectors agree in many bits.
+
+Edge cases: vectors that are null, of no length, zero, or hold null or non-finite components take no part, nor do rows without
+vec_id; vectors of different lengths have no distance, each length is searched by itself; a query's own id is no answer;
+repeated rows count once; an id with several vectors is as near as its nearest, and asks with one of them; ties go to the
 smaller vec_id; with fewer candidates than k all are returned; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,163 +35,275 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _words as W
 from ._shared import map_arrow, materialize
 
-ROTATIONS = 2
-BLOCK_ROWS = 8192
-QUERY_ROWS = 256
-GROUPS = 16
-_POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+MOST_PARTS = 64
+MOST_LOOSE = 9
+CHECK = 128
+_odd = np.random.Generator(np.random.PCG64(41)).integers(1, 1 << 62, (2, 1 << 12), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass(frozen=True)
 class Codes:
     mean: np.ndarray
     axes: np.ndarray  # a column for each bit
+    width: int  # bits of a substring
+    parts: int
+    reach: int
+    loose: int
     radius: int
 
-    def encode(self, vectors: np.ndarray) -> np.ndarray:
-        return np.packbits((vectors - self.mean) @ self.axes > 0, axis=1)
+    def margins(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors - self.mean) @ self.axes
+
+    def bits(self, vectors: np.ndarray) -> np.ndarray:
+        return self.margins(vectors) > 0
+
+    def values(self, bits: np.ndarray, parts: int | None = None) -> np.ndarray:
+        """The substrings of each row as numbers."""
+        m = parts or self.parts
+        return bits[:, : m * self.width].reshape(len(bits), m, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
+
+    def keys(self, bits: np.ndarray) -> np.ndarray:
+        return self.values(bits) + (np.arange(self.parts, dtype=np.int64) << self.width)
+
+    def check(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = np.zeros((len(bits), CHECK), bool)
+        n = min(CHECK, bits.shape[1])
+        held[:, :n] = bits[:, :n]
+        words = np.packbits(held, axis=1).view(np.int64)
+        return words[:, 0].copy(), words[:, 1].copy()
+
+
+def masks(width: int, reach: int, loose: int = 0) -> np.ndarray:
+    """All numbers of `width` bits with `reach` ones or fewer, or with ones in the `loose` lowest bits alone."""
+    if reach >= width:
+        return np.arange(1 << width, dtype=np.int64)
+    near = [sum(1 << b for b in ones) for n in range(reach + 1) for ones in itertools.combinations(range(width), n)]
+    return np.union1d(np.array(near, np.int64), np.arange(1 << min(loose, width), dtype=np.int64))
 
 
-def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """vec_id and v (array<double>) of the rows that take part, and their size (the most frequent one)."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id and v (array<double>) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = sizes[0]["d"] if sizes else 0
-    return rows.where(F.size("v") == d), d
+    return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.flatten().to_numpy().reshape(len(column), d)
 
 
-def learn_codes(rows: DataFrame, d: int, sample_rows: int = 4000, recall: float = 0.97, k: int = 10) -> Codes:
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
-    x = _matrix(got["v"].combine_chunks(), d) if got.num_rows else np.zeros((0, d))
-    mean = x.mean(0) if len(x) else np.zeros(d)
-    if len(x) < max(2, 2 * d):  # too few rows to learn axes from
-        return Codes(mean, np.tile(np.eye(d), ROTATIONS)[:, : -(-d * ROTATIONS // 8) * 8], d * ROTATIONS)
+def entries(rows: DataFrame, d: int, k: int) -> DataFrame:
+    """h1, h2 (128 bits that name a vector), rep (its smallest id), ids (the k + 1 smallest), v: of each distinct vector.
+
+    A batch first keeps the k + 1 smallest ids of each vector, so a vector that many rows share is small before its shuffle.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), d) + 0.0
+            with np.errstate(over="ignore"):
+                raw = np.ascontiguousarray(x).view(np.uint64)
+                h1, h2 = (W.mix((W.mix(raw * _odd[i, np.arange(d) % _odd.shape[1]]) * (np.arange(d, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(1, dtype=np.uint64)) for i in (0, 1))
+            order = np.lexsort((ids, h2, h1))
+            h1, h2 = h1[order], h2[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            first = np.flatnonzero(fresh)
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            keep = rank <= k
+            yield pa.RecordBatch.from_arrays([pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), *(batch.column(c).take(pa.array(order[keep])) for c in (0, 1))], names=["h1", "h2", "vec_id", "v"])
+
+    named = map_arrow(rows.select("vec_id", "v"), run, "h1 long, h2 long, vec_id long, v array<double>")
+    ids = F.slice(F.sort_array(F.collect_set("vec_id")), 1, k + 1)
+    return materialize(named.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), ids.alias("ids"), F.first("v").alias("v")), "ann-entries")
+
+
+def _rotations(x: np.ndarray, mean: np.ndarray, bits: int) -> np.ndarray:
+    """A column for each bit: rotated principal axes, each rotation refined on the sample."""
+    d = x.shape[1]
+    random = np.random.Generator(np.random.PCG64(11))
     centred = x - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    projected = centred @ axes
-    random, turned = np.random.Generator(np.random.PCG64(11)), []
-    for _ in range(ROTATIONS):
+    axes = np.linalg.eigh(centred.T @ centred)[1] if len(x) else np.eye(d)
+    projected, turned = centred @ axes, []
+    for _ in range(-(-bits // d)):
         turn = np.linalg.qr(random.normal(size=(d, d)))[0]
-        for _ in range(25):
+        for _ in range(8 if len(x) >= 2 * d else 0):  # too few rows tell nothing about signs
             u, _, vt = np.linalg.svd(np.where(projected @ turn > 0, 1.0, -1.0).T @ projected)
             turn = (u @ vt).T
         turned.append(axes @ turn)
-    codes = Codes(mean, np.concatenate(turned, 1), 0)
-    bits = codes.encode(x)
-    seen = []
-    norms = (x * x).sum(1)
-    for q in range(min(200, len(x))):
-        near = norms - 2 * (x @ x[q])
-        near[q] = np.inf
-        best = np.argsort(near)[:k]
-        seen.append(_POPCOUNT[bits[best] ^ bits[q]].sum(1))
-    return Codes(mean, codes.axes, int(np.quantile(np.concatenate(seen), recall, method="higher")))
+    return np.concatenate(turned, 1)
+
+
+def true_neighbours(rows: DataFrame, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each asked vector the k nearest distinct ones but itself, over all entries in one pass: their number and vectors."""
+    d = asked.shape[1]
+    square = (asked * asked).sum(1)
+
+    def run(batches):
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros((0, d)))] * len(asked)
+        for batch in batches:
+            x = _matrix(batch.column(0), d)
+            far = square[:, None] - 2 * asked @ x.T + (x * x).sum(1)
+            far[far < 1e-12 * (1 + square[:, None])] = np.inf
+            for q in range(len(asked)):
+                near = np.argpartition(far[q], k)[:k] if far.shape[1] > k else np.arange(far.shape[1])
+                near = near[np.isfinite(far[q][near])]
+                both = np.concatenate([best[q][0], far[q][near]]), np.concatenate([best[q][1], x[near]])
+                order = np.argsort(both[0])[:k]
+                best[q] = both[0][order], both[1][order]
+        out = [np.concatenate([np.full(len(b[0]), q) for q, b in enumerate(best)]), np.concatenate([b[0] for b in best])]
+        vectors = np.concatenate([b[1] for b in best]).reshape(-1)
+        n = len(out[0])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0].astype(np.int32)), pa.array(out[1]), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(vectors))], names=["q", "far", "v"])
+
+    found = map_arrow(rows.select("v"), run, "q int, far double, v array<double>")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("far"))
+    got = found.withColumn("r", rank).where(F.col("r") <= k).orderBy("q", "r").select("q", "v").toArrow()
+    return got["q"].to_numpy(), _matrix(got["v"], d) if got.num_rows else np.zeros((0, d))
+
+
+def learn_codes(rows: DataFrame, d: int, n: int, k: int, sample_rows: int = 4000, tuned: int = 100, recall: float = 0.96) -> Codes:
+    """rows: entries; n: how many. The driver gets the sample and the neighbours of `tuned` of it."""
+    got = rows.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).toArrow()
+    x = _matrix(got["v"], d) if got.num_rows else np.zeros((0, d))
+    mean = x.mean(0) if len(x) else np.zeros(d)
+    width = min(24, max(4, round(float(np.log2(max(n, 2)))) - 3))
+    codes = Codes(mean, _rotations(x, mean, MOST_PARTS * width), width, MOST_PARTS, 0, 0, CHECK)
+    asked = x[:tuned]
+    of, near = true_neighbours(rows, asked, k) if len(asked) else (np.zeros(0, np.int64), near_none(d))
+    if not len(of):
+        return Codes(mean, codes.axes, width, 1, width, 0, CHECK)
+    margins = codes.margins(asked)[of]
+    differ = (margins > 0) != codes.bits(near)
+    apart = differ[:, : MOST_PARTS * width].reshape(len(of), MOST_PARTS, width)
+    order = np.abs(margins[:, : MOST_PARTS * width]).reshape(apart.shape).argsort(2)
+    apart = np.take_along_axis(apart, order, 2)  # the bits a query is least sure of first
+    ones, last = apart.sum(2), np.where(apart.any(2), width - apart[:, :, ::-1].argmax(2), 0)
+    best = None
+    for reach in range(1, width + 1):
+        for loose in range(min(MOST_LOOSE, width) + 1):
+            hit = np.logical_or.accumulate((ones <= reach) | (last <= loose), axis=1).mean(0)
+            if hit[-1] < recall:
+                continue
+            parts = int(np.argmax(hit >= recall)) + 1
+            cost = parts * (len(masks(width, reach, loose)) * (1 + n / 2.0**width) + 100)
+            if best is None or cost < best[0]:
+                best = cost, parts, reach, loose
+        if best:
+            break
+    wide = min(CHECK, differ.shape[1])
+    radius = int(np.quantile(differ[:, :wide].sum(1), 0.5 + recall / 2, method="higher"))
+    return Codes(mean, codes.axes, width, *best[1:], radius)
+
+
+def near_none(d: int) -> np.ndarray:
+    return np.zeros((0, d))
 
 
 def build_index(rows: DataFrame, codes: Codes, d: int) -> DataFrame:
-    """One row per block: part, block, ids, vectors, codes, order, bounds (binary)."""
+    """key, rep, a, b (the checked bits): a row for each entry and substring."""
 
     def run(batches):
-        from pyspark import TaskContext
+        for batch in batches:
+            bits = codes.bits(_matrix(batch.column(1), d))
+            keys = codes.keys(bits)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *map(pa.array, codes.check(bits))], names=["rep", "keys", "a", "b"])
+
+    coded = map_arrow(rows.select("rep", "v"), run, "rep long, keys array<long>, a long, b long")
+    return materialize(coded.select(F.explode("keys").alias("key"), "rep", "a", "b"), "ann-index")
 
-        part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
 
-        def block(parts):
-            ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
-            bits = codes.encode(x)
-            order = np.argsort(bits, axis=0, kind="stable").astype(np.int32)
-            bounds = np.stack([np.searchsorted(bits[order[:, s], s], np.arange(257)) for s in range(bits.shape[1])]).astype(np.int32)
-            raw = [np.ascontiguousarray(a).tobytes() for a in (ids, x, bits, order.T, bounds)]
-            names = ["part", "block", "ids", "vectors", "codes", "order", "bounds"]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), *(pa.array([r], pa.binary()) for r in raw)], names=names)
+def _probes(asked: DataFrame, codes: Codes, d: int, reach: int, loose: int) -> DataFrame:
+    parts = 1 if reach >= codes.width else codes.parts
+    near = masks(codes.width, reach, loose)
+    picked = (near[:, None] >> np.arange(codes.width)) & 1
 
+    def run(batches):
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), d)
-            for a in range(0, len(ids), BLOCK_ROWS):
-                held.append((ids[a : a + BLOCK_ROWS], x[a : a + BLOCK_ROWS]))
-                n += len(held[-1][0])
-                if n >= BLOCK_ROWS:
-                    yield block(held)
-                    number, held, n = number + 1, [], 0
-        if held:
-            yield block(held)
-
-    return materialize(map_arrow(rows, run, "part int, block int, ids binary, vectors binary, codes binary, order binary, bounds binary"), "ann-index")
-
-
-def _probe(code: np.ndarray, order: np.ndarray, bounds: np.ndarray, reach: int) -> np.ndarray:
-    """Rows of which some substring is within reach of the query's."""
-    found = np.zeros(order.shape[1], bool)
-    values = np.arange(256)
-    for s in range(len(code)):
-        for v in np.flatnonzero(_POPCOUNT[values ^ code[s]] <= reach):
-            found[order[s, bounds[s, v] : bounds[s, v + 1]]] = True
-    return np.flatnonzero(found)
-
-
-def _nearest(query: np.ndarray, own: int, code: np.ndarray, block, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, x, bits, order, bounds = block
-    m = len(code)
+            margins = codes.margins(_matrix(batch.column(1), d))
+            bits = margins > 0
+            check, keys = codes.check(bits), codes.keys(bits)[:, :parts]
+            order = np.abs(margins[:, : parts * codes.width]).reshape(len(margins), parts, codes.width).argsort(2)
+            for at in range(len(keys)):
+                out = (keys[at][:, None] ^ ((1 << order[at]) @ picked.T)).reshape(-1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, 1), pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out)), *(pa.array(c[at : at + 1]) for c in check)], names=["q", "keys", "qa", "qb"]
+                )
+
+    return map_arrow(asked.select("rep", "v"), run, "q long, keys array<long>, qa long, qb long").select(F.explode("keys").alias("key"), "q", "qa", "qb")
+
+
+def _search(asked: DataFrame, rows: DataFrame, index: DataFrame, codes: Codes, d: int, reach: int, loose: int, radius: int) -> DataFrame:
+    """q, rep, score: every entry that the probes of asked (rep, v) meet within the radius."""
+    met = _probes(asked, codes, d, reach, loose).join(index, "key")
+    if radius < CHECK:
+        met = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("qa"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("qb"))) <= radius)
+    pairs = met.select("q", "rep").distinct()
+    both = pairs.join(rows.select("rep", "v"), "rep").join(asked.select(F.col("rep").alias("q"), F.col("v").alias("w")), "q")
+
+    def run(batches):
+        for batch in batches:
+            far = np.sqrt(((_matrix(batch.column(2), d) - _matrix(batch.column(3), d)) ** 2).sum(1)) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["q", "rep", "score"])
+
+    return map_arrow(both.select("q", "rep", "v", "w"), run, "q long, rep long, score double")
+
+
+def _of_length(rows: DataFrame, queries, d: int, k: int) -> DataFrame:
+    kinds = entries(rows, d, k)
+    n = kinds.count()
+    asking = rows.where(queries).select("vec_id").distinct()
+    of = kinds.select("rep", F.explode("ids").alias("query_id"))
+    # An id past the k + 1 smallest of its vector is in no entry: such queries find their entry by the vector itself.
+    asking = asking.join(of, asking["vec_id"] == of["query_id"], "left").select("vec_id", "rep")
+    lost = asking.where("rep is null").select("vec_id").join(rows, "vec_id").join(kinds.select("rep", F.col("v").alias("w")), F.col("v") == F.col("w")).select("vec_id", "rep")
+    asking = asking.where("rep is not null").unionByName(lost).groupBy("vec_id").agg(F.min("rep").alias("rep"))
+    asking = materialize(asking.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q")), "ann-asking")
+    asked = materialize(kinds.select("rep", "v").join(asking.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi"), "ann-asked")
+    codes = learn_codes(kinds, d, n, k)
+    index = build_index(kinds, codes, d)
+    total = rows.select("vec_id").distinct().count()
+    reach, loose, radius, found = codes.reach, codes.loose, codes.radius, None
+    sizes = kinds.select("rep", F.size("ids").alias("n"))
+    todo = asked
     while True:
-        rows = _probe(code, order, bounds, radius // m)
-        rows = rows[(_POPCOUNT[bits[rows] ^ code].sum(1) <= radius) & (ids[rows] != own)]
-        if len(rows) >= k or radius >= 8 * m:
+        got = materialize(_search(todo, kinds, index, codes, d, reach, loose, radius), "ann-found")
+        if reach >= codes.width and radius >= CHECK:
+            enough = got
+        else:
+            have = got.join(sizes, "rep").groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > min(k, total - 1)).select("q")
+            enough = got.join(have, "q", "left_semi")
+        found = enough if found is None else found.unionByName(enough)
+        if reach >= codes.width and radius >= CHECK:
             break
-        radius = min(radius + m, 8 * m)
-    distance = np.sqrt(((x[rows] - query) ** 2).sum(1))
-    best = np.lexsort((ids[rows], distance))
-    best = best[np.concatenate([[True], np.diff(ids[rows][best]) != 0])] if len(best) else best
-    return ids[rows][best[:k]], distance[best[:k]]
+        todo = todo.join(enough.select(F.col("q").alias("rep")).distinct(), "rep", "left_anti")
+        if todo.isEmpty():
+            break
+        reach, radius = min(reach + 2, codes.width), CHECK
+        todo = materialize(todo, "ann-asked")
+    near = F.row_number().over(Window.partitionBy("q").orderBy("score", "rep"))
+    top = found.withColumn("r", near).where(F.col("r") <= k + 1).select("q", "rep", "score")
+    members = top.join(kinds.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
+    answers = asking.join(members, "q").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, queries, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row for which the condition `queries` holds."""
-    rows, d = usable(vectors)
-    codes = learn_codes(rows, d, k=k)
-    index = build_index(rows, codes, d)
-    radius = codes.radius
-
-    def gather(batches):
-        ids, x = [], []
-        for batch in batches:
-            ids.append(batch.column(0).to_numpy())
-            x.append(_matrix(batch.column(1), d))
-            while sum(map(len, ids)) >= QUERY_ROWS:
-                all_ids, all_x = np.concatenate(ids), np.concatenate(x)
-                yield pa.RecordBatch.from_arrays([pa.array([all_ids[:QUERY_ROWS].tobytes()]), pa.array([all_x[:QUERY_ROWS].tobytes()])], names=["q_ids", "q_vectors"])
-                ids, x = [all_ids[QUERY_ROWS:]], [all_x[QUERY_ROWS:]]
-        if sum(map(len, ids)):
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(x).tobytes()])], names=["q_ids", "q_vectors"])
-
-    asked = materialize(map_arrow(rows.where(queries).dropDuplicates(["vec_id"]), gather, "q_ids binary, q_vectors binary"), "ann-queries")
-    spread = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
-    met = index.withColumn("g", F.pmod(F.hash("part", "block"), F.lit(GROUPS))).join(spread, "g").drop("g", "part", "block")
-
-    def search(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                raw = [batch.column(c)[row].as_py() for c in range(7)]
-                ids = np.frombuffer(raw[0], np.int64)
-                n = len(ids)
-                x = np.frombuffer(raw[1]).reshape(n, d)
-                bits = np.frombuffer(raw[2], np.uint8).reshape(n, -1)
-                order, bounds = np.frombuffer(raw[3], np.int32).reshape(-1, n), np.frombuffer(raw[4], np.int32).reshape(-1, 257)
-                own, q = np.frombuffer(raw[5], np.int64), np.frombuffer(raw[6]).reshape(-1, d)
-                asked_codes = codes.encode(q)
-                found = [_nearest(q[i], own[i], asked_codes[i], (ids, x, bits, order, bounds), radius, k) for i in range(len(own))]
-                sizes = [len(f[0]) for f in found]
-                out = [np.repeat(own, sizes), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
-
-    found = map_arrow(met, search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = usable(vectors)
+    lengths = [r["d"] for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = None
+    for d in lengths:
+        one = _of_length(rows.where(F.size("v") == d), queries, d, k)
+        out = one if out is None else out.unionByName(one)
+    return out
