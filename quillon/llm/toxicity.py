@@ -123,7 +123,7 @@ def _fit(bags: pa.Table, prior: float, epochs: int, rate: float, decay: float):
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, rows_a_class: int = 1500, epochs: int = 50, rate: float = 0.05, decay: float = 3e-4
 ) -> ToxicityModel:
-    """Learn from the labelled rows given. The driver gets `rows_a_class` bags of each class at most."""
+    """Learn from the labelled rows given. One task trains on `rows_a_class` bags of each class at most; the driver gets the margins."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     share = known.agg(F.count("*").alias("n"), F.sum((F.col("_toxic") > 0).cast("long")).alias("toxic")).first()
     prior = (share["toxic"] or 0) / max(share["n"], 1)
@@ -143,13 +143,20 @@ def fit_toxicity(
                 lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in parts]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, z - a) for k in (0, 1)), *lists], names=["id", "toxic", "buckets", "values"])
 
-    got = map_arrow(chosen, bags, "id long, toxic int, buckets array<short>, values array<float>").toArrow()
-    if not got.num_rows:
+    def train(batches):
+        got = list(batches)
+        if sum(b.num_rows for b in got):
+            held = [pa.Table.from_batches(got).sort_by("id")]
+            got.clear()
+            margins, bias = _fit(held.pop(), prior, epochs, rate, decay)
+            fixed = np.rint(margins * SCALE).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([fixed.tobytes()], pa.binary()), pa.array([bias])], names=["margins", "bias"])
+
+    gathered = map_arrow(chosen, bags, "id long, toxic int, buckets array<short>, values array<float>").repartition(1)
+    got = map_arrow(gathered, train, "margins binary, bias double").collect()
+    if not got:
         return ToxicityModel(np.zeros(BUCKETS, np.int32), float(np.log(prior / (1 - prior))))
-    held = [got.sort_by("id")]
-    del got
-    margins, bias = _fit(held.pop(), prior, epochs, rate, decay)
-    return ToxicityModel(np.rint(margins * SCALE).astype(np.int32), bias)
+    return ToxicityModel(np.frombuffer(bytes(got[0]["margins"]), np.int32), got[0]["bias"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
