@@ -31,6 +31,7 @@ from .graph import components
 
 HALF = 3
 BLOCK = 512
+SALTS = 64
 _seeds = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -113,7 +114,10 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     theirs = sets.select(F.col("rep"), F.col("shingles").alias("mine"))
     hubs = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hubs"))
     shared = F.size(F.array_intersect("mine", "hubs"))
-    both = pairs.join(theirs, "rep").join(hubs, "hub")
+    # A hub may have a third of all rows: its set goes out to SALTS shares of them, each of which is a key of its own.
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    hubs = pairs.select("hub", "salt").distinct().join(hubs, "hub")
+    both = pairs.join(theirs, "rep").join(hubs, ["hub", "salt"])
     return both.select("hub", "rep", shared.alias("shared"), (F.size("mine") + F.size("hubs") - shared).alias("total"))
 
 
