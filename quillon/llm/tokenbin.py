@@ -3,7 +3,10 @@
 Texts are encoded, sorted by doc_id, and cut into shards of about `SHARD_TOKENS` ids. In each shard the most frequent pairs
 of neighbouring ids are replaced by new symbols, again and again: a round takes the pairs that occur at least `LEAST` times,
 most frequent first, so that no symbol is the left part of one and the right part of another (then no two matches overlap).
-A pair never spans two documents, so every document starts at a symbol, and the stored expansion lengths find any id.
+A pair of equal symbols is replaced from the start of each run of them. A pair never spans two documents, so every document
+starts at a symbol, and the stored expansion lengths find any id. By default a shard has ROUNDS rounds of RULES_A_ROUND pairs
+of LEAST occurrences or more, as rules beyond cost time and save little; with rounds=None, least=2 rounds go on until no pair
+occurs twice, which is Re-Pair to its end. The ids read back are the same either way.
 
 File format: a table of Parquet files with one row per shard (part, shard, n_tokens, n_docs, payload). The payload is
 little-endian: magic `QRP1`; counts of documents, rules, symbols and ids; document ids and null flags; where each
@@ -16,6 +19,7 @@ their texts; a text longer than a shard gets a shard of its own; other columns a
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -35,39 +39,54 @@ LEAST = 24
 MAGIC = b"QRP1"
 
 
-def _frequent_pairs(seq: np.ndarray, pairable: np.ndarray, n_symbols: int) -> np.ndarray:
+def _frequent_pairs(seq: np.ndarray, pairable: np.ndarray, n_symbols: int, rules: int, least: int) -> np.ndarray:
     """Keys left * n_symbols + right of the pairs to replace in this round."""
     keys = seq[:-1].astype(np.int64) * n_symbols + seq[1:]
     slots = ((keys * 0x9E3779B1) >> 12) & ((1 << 20) - 1)
-    slots[~pairable] = 1 << 20
+    apart = pairable & _first_of_runs(seq)
+    slots[~apart] = 1 << 20
     heavy = np.bincount(slots, minlength=(1 << 20) + 1)
     heavy[1 << 20] = 0
     order = np.sort(heavy)
-    bar = max(LEAST, int(order[-4 * RULES_A_ROUND]))
-    found, counts = np.unique(keys[heavy[slots] >= bar], return_counts=True)
-    found, counts = found[counts >= LEAST], counts[counts >= LEAST]
-    lefts, rights, out = set(), set(), []
+    found = np.zeros(0, np.int64)
+    for bar in (max(least, int(order[-4 * rules])), least):
+        if not len(found):
+            found, counts = np.unique(keys[(heavy[slots] >= bar) & apart], return_counts=True)
+            found, counts = found[counts >= least], counts[counts >= least]
+    lefts, rights, doubled, out = set(), set(), set(), []
     for key in found[np.lexsort((found, -counts))].tolist():
         a, b = divmod(key, n_symbols)
-        if a == b or a in rights or b in lefts:
+        if a in rights or b in lefts or (a == b and (a in lefts or b in rights)) or a in doubled or b in doubled:
             continue
+        if a == b:
+            doubled.add(a)
         lefts.add(a)
         rights.add(b)
         out.append(key)
-        if len(out) == RULES_A_ROUND:
+        if len(out) == rules:
             break
     return np.array(out, np.int64)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> dict[str, np.ndarray]:
+def _first_of_runs(seq: np.ndarray) -> np.ndarray:
+    """For each pair of neighbours: False where both are equal and an odd number of the same symbol lies before in its run."""
+    n = len(seq)
+    fresh = np.ones(n, bool)
+    fresh[1:] = seq[1:] != seq[:-1]
+    at = np.arange(n)
+    start = np.maximum.accumulate(np.where(fresh, at, 0))
+    return fresh[1:] | ((at - start)[:-1] % 2 == 0)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int | None = ROUNDS, rules: int = RULES_A_ROUND, least: int = LEAST) -> dict[str, np.ndarray]:
     """ids: the documents end to end, each with its final symbol `vocabulary` at ends[k] - 1."""
     seq, n_symbols = ids.astype(np.int32), vocabulary + 1
     left, right = [], []
-    for _ in range(ROUNDS):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         pairable = (seq[:-1] != vocabulary) & (seq[1:] != vocabulary)
-        chosen = _frequent_pairs(seq, pairable, n_symbols)
+        chosen = _frequent_pairs(seq, pairable, n_symbols, rules, least)
         if not len(chosen):
             break
         a, b = chosen // n_symbols, chosen % n_symbols
@@ -80,7 +99,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> dict[str, np
         rule = np.zeros((len(la) + 1, len(lb) + 1), np.int32)
         rule[of_left[a], of_right[b]] = n_symbols + np.arange(len(chosen))
         new = rule[of_left[seq[:-1]], of_right[seq[1:]]]
-        at = np.flatnonzero(new)
+        at = np.flatnonzero((new > 0) & _first_of_runs(seq))
         seq[at] = new[at]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -94,8 +113,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> dict[str, np
     return {"left": left, "right": right, "lengths": lengths[vocabulary + 1 :], "seq": seq, "doc_symbols": np.flatnonzero(seq == vocabulary) + 1}
 
 
-def write_shard(doc_ids: np.ndarray, nulls: np.ndarray, ids: np.ndarray, ends: np.ndarray, vocabulary: int, end_id: int) -> bytes:
-    got = compress(ids, ends, vocabulary)
+def write_shard(doc_ids: np.ndarray, nulls: np.ndarray, ids: np.ndarray, ends: np.ndarray, vocabulary: int, end_id: int, **grammar) -> bytes:
+    got = compress(ids, ends, vocabulary, **grammar)
     wide = np.dtype("<u2") if vocabulary + 1 + len(got["left"]) <= 0xFFFF else np.dtype("<u4")
     head = struct.pack("<4s6q", MAGIC, len(doc_ids), len(got["left"]), len(got["seq"]), len(ids), vocabulary, end_id)
     starts = lambda x: np.concatenate([[0], x[:-1]]).astype("<i8")
@@ -163,8 +182,11 @@ class Shard:
         return self.expand(symbols[first:stop])[skip : skip + length]
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode docs with the word tokenizer at path, write the files, and return the table that reads them."""
+def write_tokens(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS, **grammar) -> DataFrame:
+    """Encode docs with the word tokenizer at path, write the files, and return the table that reads them.
+
+    grammar: rounds, rules and least of `compress`.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -177,7 +199,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SH
         def flush():
             nonlocal ids, sizes, names, nulls, held, shard
             ends = np.cumsum(np.concatenate(sizes))
-            payload = write_shard(np.concatenate(names), np.concatenate(nulls), np.concatenate(ids), ends, vocabulary, end_id)
+            payload = write_shard(np.concatenate(names), np.concatenate(nulls), np.concatenate(ids), ends, vocabulary, end_id, **grammar)
             row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([int(ends[-1])], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([payload], pa.binary())]
             ids, sizes, names, nulls, held = [], [], [], [], 0
             shard += 1
