@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,34 +13,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.shipping import packaged, shared_folder
+
+_OWN = f"quillon-{uuid.uuid4().hex}"
+_held: set[str] = set()
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quillon-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder named in spark.checkpoint.dir. Where it is unset a local session gets one of its own; a cluster is refused."""
+    return shared_folder(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back.
 
-    This cuts lineage: what is read later survives lost executors, and nothing upstream runs twice.
+    This cuts lineage: what is read later survives lost executors, and nothing upstream runs twice. The tables of a session lie
+    in one folder, which goes when the driver ends, or with `clear_scratch`.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{_OWN}/{name}-{uuid.uuid4().hex}"
+    if not _held:
+        atexit.register(clear_scratch, spark)
+    _held.add(f"{scratch_dir(spark)}/{_OWN}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that materialize has written in this session; what still reads them fails then."""
+    for path in list(_held):
+        with contextlib.suppress(Exception):  # the driver's JVM may be gone already
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _held.discard(path)
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers started from another folder import this package in local runs."""
+    """Let Python workers import this package: it is sent to executors, and local ones find it by path."""
+    packaged()
     env = spark.sparkContext.environment
     held = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in held:
