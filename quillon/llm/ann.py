@@ -40,7 +40,7 @@ from ._shared import map_arrow, materialize
 
 MOST_PARTS = 64
 MOST_LOOSE = 9
-CHECK = 128
+CHECK = 256
 _odd = np.random.Generator(np.random.PCG64(41)).integers(1, 1 << 62, (2, 1 << 12), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -68,12 +68,13 @@ class Codes:
     def keys(self, bits: np.ndarray) -> np.ndarray:
         return self.values(bits) + (np.arange(self.parts, dtype=np.int64) << self.width)
 
-    def check(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def check(self, bits: np.ndarray) -> list[np.ndarray]:
+        """The first CHECK bits as numbers of 64 bits."""
         held = np.zeros((len(bits), CHECK), bool)
         n = min(CHECK, bits.shape[1])
         held[:, :n] = bits[:, :n]
         words = np.packbits(held, axis=1).view(np.int64)
-        return words[:, 0].copy(), words[:, 1].copy()
+        return [words[:, k].copy() for k in range(CHECK // 64)]
 
 
 def masks(width: int, reach: int, loose: int = 0) -> np.ndarray:
@@ -207,17 +208,18 @@ def near_none(d: int) -> np.ndarray:
 
 
 def build_index(rows: DataFrame, codes: Codes, d: int) -> DataFrame:
-    """key, rep, a, b (the checked bits): a row for each entry and substring."""
+    """key, rep, b0, b1 ... (the checked bits): a row for each entry and substring."""
 
     def run(batches):
         for batch in batches:
             bits = codes.bits(_matrix(batch.column(1), d))
             keys = codes.keys(bits)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *map(pa.array, codes.check(bits))], names=["rep", "keys", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *map(pa.array, codes.check(bits))], names=["rep", "keys", *checked])
 
-    coded = map_arrow(rows.select("rep", "v"), run, "rep long, keys array<long>, a long, b long")
-    return materialize(coded.select(F.explode("keys").alias("key"), "rep", "a", "b"), "ann-index")
+    checked = [f"b{k}" for k in range(CHECK // 64)]
+    coded = map_arrow(rows.select("rep", "v"), run, "rep long, keys array<long>, " + ", ".join(f"{c} long" for c in checked))
+    return materialize(coded.select(F.explode("keys").alias("key"), "rep", *checked), "ann-index")
 
 
 def _probes(asked: DataFrame, codes: Codes, d: int, reach: int, loose: int) -> DataFrame:
@@ -234,17 +236,20 @@ def _probes(asked: DataFrame, codes: Codes, d: int, reach: int, loose: int) -> D
             for at in range(len(keys)):
                 out = (keys[at][:, None] ^ ((1 << order[at]) @ picked.T)).reshape(-1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 1), pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out)), *(pa.array(c[at : at + 1]) for c in check)], names=["q", "keys", "qa", "qb"]
+                    [batch.column(0).slice(at, 1), pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out)), *(pa.array(c[at : at + 1]) for c in check)], names=["q", "keys", *checked]
                 )
 
-    return map_arrow(asked.select("rep", "v"), run, "q long, keys array<long>, qa long, qb long").select(F.explode("keys").alias("key"), "q", "qa", "qb")
+    checked = [f"q{k}" for k in range(CHECK // 64)]
+    coded = map_arrow(asked.select("rep", "v"), run, "q long, keys array<long>, " + ", ".join(f"{c} long" for c in checked))
+    return coded.select(F.explode("keys").alias("key"), "q", *checked)
 
 
 def _search(asked: DataFrame, rows: DataFrame, index: DataFrame, codes: Codes, d: int, reach: int, loose: int, radius: int) -> DataFrame:
     """q, rep, score: every entry that the probes of asked (rep, v) meet within the radius."""
     met = _probes(asked, codes, d, reach, loose).join(index, "key")
     if radius < CHECK:
-        met = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("qa"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("qb"))) <= radius)
+        apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(CHECK // 64)), F.lit(0))
+        met = met.where(apart <= radius)
     pairs = met.select("q", "rep").distinct()
     both = pairs.join(rows.select("rep", "v"), "rep").join(asked.select(F.col("rep").alias("q"), F.col("v").alias("w")), "q")
 
