@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import uuid
 from pathlib import Path
@@ -58,10 +59,22 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*held, _ROOT])
 
 
+def _lean(fn):
+    """fn, which gives memory it no longer needs back to the machine: a worker waits for its next task beside others at work."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """df.mapInArrow, once the workers can import what fn is made of."""
     importable(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_lean(fn), schema)
 
 
 def crc_fold(doc_id, modulus: int = 5):
@@ -111,4 +124,4 @@ def annotate(df: DataFrame, compute, fields: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names=names)
 
     importable(df.sparkSession)
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(_lean(run), schema)
