@@ -39,19 +39,20 @@ LEAST = 24
 MAGIC = b"QRP1"
 
 
-def _frequent_pairs(seq: np.ndarray, pairable: np.ndarray, n_symbols: int, rules: int, least: int) -> np.ndarray:
+def _frequent_pairs(seq: np.ndarray, apart: np.ndarray, vocabulary: int, n_symbols: int, rules: int, least: int) -> np.ndarray:
     """Keys left * n_symbols + right of the pairs to replace in this round."""
-    keys = seq[:-1].astype(np.int64) * n_symbols + seq[1:]
-    slots = ((keys * 0x9E3779B1) >> 12) & ((1 << 20) - 1)
-    apart = pairable & _first_of_runs(seq)
+    slots = (seq[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + seq[1:].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+    apart[vocabulary == seq[:-1]] = False
+    apart[vocabulary == seq[1:]] = False
     slots[~apart] = 1 << 20
+    slots = slots.astype(np.int64)
     heavy = np.bincount(slots, minlength=(1 << 20) + 1)
     heavy[1 << 20] = 0
-    order = np.sort(heavy)
     found = np.zeros(0, np.int64)
-    for bar in (max(least, int(order[-4 * rules])), least):
+    for bar in (max(least, int(np.partition(heavy, -4 * rules)[-4 * rules])), least):
         if not len(found):
-            found, counts = np.unique(keys[(heavy[slots] >= bar) & apart], return_counts=True)
+            at = np.flatnonzero((heavy >= bar).take(slots))
+            found, counts = np.unique(seq[at].astype(np.int64) * n_symbols + seq[at + 1], return_counts=True)
             found, counts = found[counts >= least], counts[counts >= least]
     lefts, rights, doubled, out = set(), set(), set(), []
     for key in found[np.lexsort((found, -counts))].tolist():
@@ -70,12 +71,12 @@ def _frequent_pairs(seq: np.ndarray, pairable: np.ndarray, n_symbols: int, rules
 
 def _first_of_runs(seq: np.ndarray) -> np.ndarray:
     """For each pair of neighbours: False where both are equal and an odd number of the same symbol lies before in its run."""
-    n = len(seq)
-    fresh = np.ones(n, bool)
-    fresh[1:] = seq[1:] != seq[:-1]
-    at = np.arange(n)
-    start = np.maximum.accumulate(np.where(fresh, at, 0))
-    return fresh[1:] | ((at - start)[:-1] % 2 == 0)
+    same = np.flatnonzero(seq[1:] == seq[:-1])
+    run = np.concatenate([[True], np.diff(same) > 1])[: len(same)]
+    k = np.arange(len(same))
+    out = np.ones(len(seq) - 1, bool)
+    out[same[(k - np.maximum.accumulate(np.where(run, k, 0))) % 2 == 1]] = False
+    return out
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int | None = ROUNDS, rules: int = RULES_A_ROUND, least: int = LEAST) -> dict[str, np.ndarray]:
@@ -85,8 +86,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int | N
     for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
-        pairable = (seq[:-1] != vocabulary) & (seq[1:] != vocabulary)
-        chosen = _frequent_pairs(seq, pairable, n_symbols, rules, least)
+        apart = _first_of_runs(seq)
+        chosen = _frequent_pairs(seq, apart.copy(), vocabulary, n_symbols, rules, least)
         if not len(chosen):
             break
         a, b = chosen // n_symbols, chosen % n_symbols
@@ -98,9 +99,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int | N
         of_right[lb] = np.arange(1, len(lb) + 1)
         rule = np.zeros((len(la) + 1, len(lb) + 1), np.int32)
         rule[of_left[a], of_right[b]] = n_symbols + np.arange(len(chosen))
-        new = rule[of_left[seq[:-1]], of_right[seq[1:]]]
-        at = np.flatnonzero((new > 0) & _first_of_runs(seq))
-        seq[at] = new[at]
+        of_left *= len(lb) + 1
+        cell = of_left.take(seq[:-1]) + of_right.take(seq[1:])
+        at = np.flatnonzero((rule.reshape(-1) > 0).take(cell) & apart)
+        seq[at] = rule.reshape(-1)[cell[at]]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
