@@ -62,13 +62,16 @@ def stream_cursor(t):
 
 
 def _cues(t):
-    """Turns play cues; every fourth repeats the end of the one before, as rolling captions do."""
+    """Turns play cues. Every fourth starts early and repeats the end of the one before, as rolling captions do; others that
+    touch the one before don't overlap it."""
     from pyspark.sql import Window
 
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     tail = F.regexp_extract(before, "(\\S+ \\S+ \\S+)\\s*$", 1)
-    said = F.when(F.col("turn") % 4 == 1, F.concat_ws(" ", tail, "text")).otherwise(F.col("text"))
-    return t.conversations.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("cue_index"), (F.col("turn") * 2000).alias("start_ms"), (F.col("turn") * 2000 + 2000).alias("end_ms"), said.alias("text"))
+    early = F.col("turn") % 4 == 1
+    said = F.when(early, F.concat_ws(" ", tail, "text")).otherwise(F.col("text"))
+    start = F.col("turn") * 2000 - F.when(early, 500).otherwise(0)
+    return t.conversations.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("cue_index"), start.alias("start_ms"), (F.col("turn") * 2000 + 2000).alias("end_ms"), said.alias("text"))
 
 
 @query()
