@@ -134,3 +134,31 @@ def video_id(url) -> Column:
         .when(host == "youtu.be", F.regexp_extract(path, "^/([^/]+)/?$", 1))
     )
     return F.when(u.startswith("https://") & id_.rlike("^[A-Za-z0-9_-]{11}$"), id_)
+
+
+def is_language_tag(x) -> Column:
+    """A simple BCP-47 tag: a language of two or three letters (or up to eight), then subtags of letters and digits."""
+    return F.coalesce(column(x).rlike("^[A-Za-z]{2,8}(?:-[A-Za-z0-9]{1,8})*$"), F.lit(False))
+
+
+def is_digest(x) -> Column:
+    """A SHA-256 in lower-case hexadecimal."""
+    return F.coalesce(column(x).rlike("^[0-9a-f]{64}$"), F.lit(False))
+
+
+def is_source_id(x) -> Column:
+    return F.coalesce(column(x).rlike("^[a-z0-9][a-z0-9._-]{0,99}$"), F.lit(False))
+
+
+def is_revision(x) -> Column:
+    """A full revision id of a repository."""
+    return F.coalesce(column(x).rlike("^[0-9a-f]{40}$"), F.lit(False))
+
+
+def command(x) -> tuple[Column, Column]:
+    """Command (without a bot's name, case-folded) and argument of a message like /name@bot argument; nulls for other messages."""
+    text = F.regexp_replace(column(x), "^\\s+|\\s+$", "")
+    is_command = text.startswith("/")
+    first = F.regexp_extract(text, "^/([^\\s@]*)", 1)
+    rest = F.regexp_extract(text, "(?s)^\\S+\\s+(.*)$", 1)
+    return F.when(is_command, casefold(first)), F.when(is_command & text.rlike("^\\S+\\s+\\S"), rest)
