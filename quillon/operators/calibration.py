@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import numbers as N
 
 SUFFICIENT = 30
+PARTS = 64
 
 
 def confusion(scored: DataFrame, threshold: float, *group: str) -> DataFrame:
@@ -32,27 +33,50 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def auc_counts(scored: DataFrame) -> DataFrame:
-    """twice_wins, positives, negatives: AUC = twice_wins / (2 * positives * negatives), ties one half; null score rows don't count.
+def _by_score(scored: DataFrame) -> DataFrame:
+    """p and n (rows of label 1 and 0) of each distinct score, with p_above, n_above, n_below and the totals over all others.
 
-    Rows are counted by score first, so the running sum goes over distinct scores.
+    Scores are dealt by value into PARTS ranges. Within a range a running sum is exact; what lies in other ranges is added from
+    a table of one row for each, so no task sees more scores than a range has.
     """
-    by = scored.where("score is not null").groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("below", below).agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("n"))).alias("twice_wins"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    by = scored.where("score is not null").groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    bounds = by.agg(F.percentile_approx("score", [i / PARTS for i in range(1, PARTS)])).first()[0] or []
+    bounds = sorted(set(bounds))
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("score"))) if bounds else F.lit(0)
+    by = by.withColumn("part", part)
+    ranges = by.groupBy("part").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
+    order = Window.orderBy("part")  # of PARTS rows
+    after, before, all_ = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ranges = ranges.select(
+        "part", zero(F.sum("rp").over(after)).alias("pa"), zero(F.sum("rn").over(after)).alias("na"), zero(F.sum("rn").over(before)).alias("nb"), F.sum("rp").over(all_).alias("positives"), F.sum("rn").over(all_).alias("negatives")
+    )
+    up = Window.partitionBy("part").orderBy("score")
+    from_here, lower = up.rowsBetween(0, Window.unboundedFollowing), up.rowsBetween(Window.unboundedPreceding, -1)
+    return by.join(F.broadcast(ranges), "part").select(
+        "score", "p", "n", (F.sum("p").over(from_here) + F.col("pa")).alias("p_above"), (F.sum("n").over(from_here) + F.col("na")).alias("n_above"),
+        (zero(F.sum("n").over(lower)) + F.col("nb")).alias("n_below"), "positives", "negatives",
+    )
+
+
+def _labelled(scored: DataFrame) -> DataFrame:
+    return scored.select("score", (F.col("label") == 1).cast("long").alias("p"), (F.col("label") == 0).cast("long").alias("n"))
+
+
+def auc_counts(scored: DataFrame) -> DataFrame:
+    """twice_wins, positives, negatives: AUC = twice_wins / (2 * positives * negatives), ties one half; null score rows don't count."""
+    by = _by_score(_labelled(scored))
+    return by.agg(F.sum(F.col("p") * (2 * F.col("n_below") + F.col("n"))).alias("twice_wins"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
 def threshold_sweep(scored: DataFrame) -> DataFrame:
-    """Counts at every distinct score, and at 0.0 and 1.0, from one descending running sum."""
-    spark = scored.sparkSession
-    ends = spark.range(2).select(F.col("id").cast("double").alias("score"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
-    by = scored.where("score is not null").groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    whole = by.unionByName(ends).groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    down, all_ = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return whole.select(
-        F.col("score").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"),
-        (F.sum("n").over(all_) - F.sum("n").over(down)).alias("tn"), (F.sum("p").over(all_) - F.sum("p").over(down)).alias("fn"),
-    )
+    """Counts at every distinct score, and at 0.0 and 1.0."""
+    none = F.lit(0).cast("long")
+    ends = scored.sparkSession.range(2).select(F.col("id").cast("double").alias("score"), none.alias("p"), none.alias("n"))
+    by = _by_score(_labelled(scored).unionByName(ends))
+    return by.select(
+        F.col("score").alias("threshold"), F.col("p_above").alias("tp"), F.col("n_above").alias("fp"), (F.col("negatives") - F.col("n_above")).alias("tn"), (F.col("positives") - F.col("p_above")).alias("fn")
+    )
 
 
 def best_threshold(swept: DataFrame, scale: int = 1_000_000) -> DataFrame:

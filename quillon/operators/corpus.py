@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +22,28 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     return by.agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
 
 
+def _block_masks() -> list[int]:
+    """For each choice of three of six blocks of a 64-bit number: a mask of their bits, as a signed number."""
+    cuts = [0, 11, 22, 33, 44, 54, 64]
+    blocks = [(1 << z) - (1 << a) for a, z in zip(cuts, cuts[1:], strict=False)]
+    masks = [a | b | c for a, b, c in itertools.combinations(blocks, 3)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def simhash_pairs(docs: DataFrame, least_tokens: int = 50, ratio: float = 0.9, distance: int = 3) -> DataFrame:
     """left_id <= right_id of near duplicates: SimHash within `distance` bits, token counts within `ratio`.
 
-    Four bands of 16 bits: at most three differing bits leave some band equal, so joining on bands loses no pair. Documents of
-    equal hash and length are one class under its smallest doc_id; a class of several has a row with itself, and a pair of
-    classes stands for all pairs of their members.
+    The 64 bits are cut into six blocks. Three differing bits leave three blocks or more alone, so two such hashes are equal in
+    one of the twenty choices of three blocks, each of about 32 bits: joining on these keys loses no pair, and texts that
+    have nothing to do with each other hardly meet. Documents of equal hash and length are one class under its smallest
+    doc_id; a class of several has a row with itself, and a pair of classes stands for all pairs of their members.
     """
+    if distance > 3:
+        raise ValueError("six blocks find up to three differing bits")
     hashed = docs.select("doc_id", T.corpus_tokens("text").alias("t")).where(F.size("t") >= least_tokens)
     classes = hashed.select("doc_id", F.size("t").alias("n"), N.simhash64("t").alias("h")).groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"))
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.struct(b.alias("b"), F.call_function("shiftright", F.col("h"), b * 16).bitwiseAND(0xFFFF).alias("v"))))
-    banded = classes.select("doc_id", "n", "h", "members", band.alias("band"))
+    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("h").bitwiseAND(F.lit(mask)).alias("bits")) for k, mask in enumerate(_block_masks())])
+    banded = classes.select("doc_id", "n", "h", "members", F.explode(keys).alias("band"))
     a, b = banded.alias("a"), banded.alias("b")
     close = (F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= distance) & (F.least("a.n", "b.n") >= ratio * F.greatest("a.n", "b.n"))
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.doc_id") <= F.col("b.doc_id"))).where(close & ((F.col("a.doc_id") < F.col("b.doc_id")) | (F.col("a.members") > 1)))

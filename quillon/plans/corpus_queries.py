@@ -9,6 +9,7 @@ from quillon.functions import text as T
 from quillon.operators import calibration as C
 from quillon.operators import corpus as K
 from quillon.operators import ledger as L
+from quillon.operators import runs as R
 from quillon.operators import similarity as S
 
 from ._registry import query
@@ -87,15 +88,36 @@ def candidate_fingerprint(t):
     return t.pages.select("page_id", N.sha256(told).alias("fingerprint"))
 
 
+_EVIDENCE = """e AS (SELECT doc_id, text, unnest([0, 1, 2]) AS k, doc_id % 17 AS z FROM documents),
+    v AS (SELECT doc_id AS result_id, CASE WHEN z = 1 AND k = 2 THEN 3 ELSE k END AS evidence_index, CASE WHEN z = 2 THEN doc_id + 1000000000 ELSE doc_id END AS artifact_id, CASE WHEN z = 3 THEN -1 ELSE k * (length(text) // 3) END AS "start",
+      CASE WHEN z = 4 THEN length(text) + 1 ELSE (k + 1) * (length(text) // 3) END AS "end", CASE WHEN z = 5 AND k = 1 THEN 'other' ELSE substring(text, k * (length(text) // 3) + 1, length(text) // 3) END AS excerpt, z, k FROM e),
+    h AS (SELECT *, CASE WHEN z = 6 THEN 'x' ELSE sha256(excerpt) END AS excerpt_sha256, row_number() OVER (PARTITION BY result_id ORDER BY evidence_index) - 1 AS n FROM v)"""
+
+
 @query(
-    """SELECT doc_id, sha256(substring(text, 11, 40)) = sha256(left(substring(text, 11), 40)) AS span_holds, sha256(text) AS text_hash,
-      sha256('{"artifact":' || doc_id || ',"end":50,"sha256":"' || sha256(substring(text, 11, 40)) || '","start":10}') AS evidence_hash FROM documents WHERE length(text) >= 50"""
+    f"""WITH {_EVIDENCE} SELECT result_id, evidence_index, issue FROM (SELECT h.*, CASE WHEN text IS NULL THEN 'unknown_artifact' WHEN evidence_index <> n THEN 'index_gap' WHEN NOT ("start" >= 0 AND "start" < "end" AND "end" <= length(text)) THEN 'bad_span'
+      WHEN substring(text, "start" + 1, "end" - "start") <> excerpt THEN 'excerpt_differs' WHEN sha256(excerpt) <> excerpt_sha256 THEN 'hash_differs' END AS issue FROM h LEFT JOIN documents ON doc_id = artifact_id) WHERE issue IS NOT NULL"""
 )
 def evidence_verification(t):
-    part = F.substring("text", 11, 40)
-    again = F.left(F.substr("text", F.lit(11)), F.lit(40))
-    locator = N.canonical_json(artifact="doc_id", start=F.lit(10), end=F.lit(50), sha256=N.sha256(part))
-    return t.documents.where(F.length("text") >= 50).select("doc_id", (N.sha256(part) == N.sha256(again)).alias("span_holds"), N.sha256("text").alias("text_hash"), N.sha256(locator).alias("evidence_hash"))
+    """Every text in three spans, some of which were tampered with."""
+    i, z, k = F.col("doc_id"), F.col("doc_id") % 17, F.col("k")
+    third = F.floor(F.length("text") / 3).cast("int")
+    rows = t.documents.select("doc_id", "text", F.explode(F.array(*[F.lit(n) for n in range(3)])).alias("k"))
+    excerpt = F.when((z == 5) & (k == 1), "other").otherwise(F.substr("text", k * third + 1, third))
+    evidence = rows.select(
+        i.alias("result_id"), F.when((z == 1) & (k == 2), 3).otherwise(k).alias("evidence_index"), F.when(z == 2, i + 1000000000).otherwise(i).alias("artifact_id"), F.when(z == 3, -1).otherwise(k * third).alias("start"),
+        F.when(z == 4, F.length("text") + 1).otherwise((k + 1) * third).alias("end"), excerpt.alias("excerpt"), F.when(z == 6, "x").otherwise(N.sha256(excerpt)).alias("excerpt_sha256"),
+    )
+    return R.evidence_issues(evidence, t.documents.select(i.alias("artifact_id"), "text"))
+
+
+@query(f"""WITH {_EVIDENCE} SELECT result_id, k AS evidence_index, sha256('{{"artifact":' || artifact_id || ',"end":' || "end" || ',"sha256":"' || excerpt_sha256 || '","start":' || "start" || '}}') AS evidence_hash FROM h WHERE z > 6""")
+def evidence_locators(t):
+    third = F.floor(F.length("text") / 3).cast("int")
+    rows = t.documents.where("doc_id % 17 > 6").select("doc_id", "text", F.explode(F.array(*[F.lit(n) for n in range(3)])).alias("k"))
+    part = F.substr("text", F.col("k") * third + 1, third)
+    locator = N.canonical_json(artifact="doc_id", start=F.col("k") * third, end=(F.col("k") + 1) * third, sha256=N.sha256(part))
+    return rows.select(F.col("doc_id").alias("result_id"), F.col("k").alias("evidence_index"), N.sha256(locator).alias("evidence_hash"))
 
 
 # Pairs: a document and the next one of its source.

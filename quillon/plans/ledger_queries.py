@@ -308,6 +308,8 @@ def conversation_turn_stats(t):
     )
 
 
-@query("SELECT doc_id, count(*) AS n FROM labels GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 100 = 0) GROUP BY 1 HAVING count(*) > 1")
 def identity_violations(t):
-    return L.violations(t.labels, "doc_id")
+    """Labels, to which some are added that may be there already."""
+    more = t.documents.select("doc_id")
+    return L.violations(t.labels.select("doc_id").union(more.where("doc_id % 50 = 0")).union(more.where("doc_id % 100 = 0")), "doc_id")

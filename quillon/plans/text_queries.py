@@ -98,10 +98,24 @@ def synthetic_structural_score(t):
     return D.structural_metrics(t.documents.where(T.is_english("lang")))
 
 
-@query()
+def _with_phrases(t):
+    """Documents, into some of which a phrase was put twice: invented prose holds none."""
+    phrases = F.array(*[F.lit(p) for p in D.FORMULAIC])
+    phrase = F.get(phrases, (F.col("doc_id") % len(D.FORMULAIC)).cast("int"))
+    put = F.concat(F.initcap(phrase), F.lit(", "), "text", F.lit(" "), F.upper(phrase), F.lit("."))
+    return t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, put).otherwise(F.col("text")).alias("text"))
+
+
+_PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in D.FORMULAIC) + "]"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, length(text) AS n, {_PHRASES}[doc_id % {len(D.FORMULAIC)} + 1] AS p FROM documents WHERE doc_id % 3 = 0)
+    SELECT doc_id, CAST(0 AS INTEGER) AS "start", CAST(length(p) AS INTEGER) AS "end", lower(p) AS phrase FROM d
+    UNION ALL SELECT doc_id, CAST(length(p) + 2 + n + 1 AS INTEGER), CAST(2 * length(p) + 2 + n + 1 AS INTEGER), lower(p) FROM d"""
+)
 def formulaic_signal_spans(t):
-    said = t.conversations.select(F.col("conv_id").alias("doc_id"), "text").union(t.documents.select("doc_id", "text"))
-    return D.formulaic_spans(said)
+    return D.formulaic_spans(_with_phrases(t)).withColumn("phrase", F.lower("phrase"))
 
 
 @query(

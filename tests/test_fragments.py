@@ -55,7 +55,7 @@ def test_pairs_of_every_line(spark, folder):
     got = QUERIES["fragment_pairs_status"](spark, folder).collect()
     assert {(r.group_id, r.left_id, r.right_id): (r.points, r.dimensions, r.status) for r in got} == brute()
     assert len(got) == len(brute())
-    assert QUERIES["incomplete_pair_groups"](spark, folder).count() == 0
+    assert G.incomplete_groups(Q._fragments(Tables(spark, folder)), Q._pairs(Tables(spark, folder))).count() == 0
     assert {r.exclusion for r in QUERIES["fragment_exclusions"](spark, folder).collect()} >= {None, "generic_action"}
 
 
