@@ -8,25 +8,20 @@ from pyspark.sql import SparkSession
 
 from quillon.plans import catalog
 
-#: Command and the query that answers it.
+#: Command and the query that answers it over the tables of the folder; every query's own name is a command as well.
 COMMANDS = {
-    "collect": "feed_entries", "acquire": "retrieval_outcomes", "acquisition-status": "acquisition_state_summary", "parse": "html_main_text",
-    "latest-news": "news_feed_nulls_last", "telegram-bot": "message_packing", "analyze": "lexicon_marker_counts", "extract-mentions": "mention_audit_by_type",
-    "generate-candidates": "candidate_canonicalisation", "propose-aliases": "alias_proposals_per_document", "alias-proposal-audit": "alias_confidence_bands",
-    "alias-review-queue": "alias_review_queue", "decide-alias": "previous_status", "resolve-alias": "registry_validity", "resolve-candidate": "not_entity_validity",
-    "candidate-resolution-queue": "resolution_queue_groups", "entity-registry-audit": "entity_safety", "safe-entities": "safe_entity_projection",
-    "document-entities": "safe_entity_projection", "document-entity-coverage": "coverage_status", "document-entity-readiness": "readiness_status",
-    "corpus-entity-readiness": "corpus_readiness", "ready-document-versions": "ready_selection", "document-analysis-input": "event_text_readiness",
-    "compare-document-event-similarity": "pair_similarity_combined", "event-fragments": "line_blocks_with_offsets", "youtube-transcript-tracks": "conversation_turn_stats",
-    "ingest-youtube-transcript": "transcript_fold", "ingest-transcript": "transcript_fold", "inspect-document-text": "line_blocks_with_offsets",
-    "inspect-transcript-timeline": "transcript_reconstruction", "segment-event-fragments": "heading_sections", "extract-event-observations": "fragment_exclusions",
-    "profile-event-fragments": "fragment_profiles", "compare-event-fragments": "fragment_pairs_status", "propose-event-fragment-clusters": "fragment_cliques",
-    "review-event-fragment-clusters": "cluster_review_status", "prepare-analysis": "candidate_fingerprint", "execute-analysis": "synthetic_structural_score",
-    "analysis-result": "synthetic_structural_score", "analysis-evidence": "evidence_verification", "register-human-corpus-source": "content_hash_versions",
-    "register-synthetic-corpus-source": "content_hash_versions", "assemble-synthetic-corpus-manifest": "corpus_hashes", "inspect-synthetic-corpus-intake": "split_label_matrix",
-    "build-synthetic-corpus": "hash_split_assignment", "verify-synthetic-corpus-build": "group_leakage", "validate-synthetic-corpus": "exact_duplicate_groups",
-    "calibrate-synthetic-origin": "calibrated_threshold", "evaluate-synthetic-origin": "sliced_metrics", "recover-analysis": "run_attempt_ledger",
-    "analysis-attempts": "run_attempt_ledger", "candidate-audit": "alias_signals_corpus", "mention-audit": "mention_frequent_forms", "run": "acquisition_states",
+    "collect": "source_get_or_create", "acquire": "acquire_and_extract", "acquisition-status": "acquisition_state_summary", "parse": "html_main_text", "latest-news": "news_feed_nulls_last",
+    "analyze": "lexicon_marker_counts", "extract-mentions": "mention_audit_by_type", "generate-candidates": "candidate_canonicalisation", "propose-aliases": "alias_proposals_per_document",
+    "mention-audit": "mention_provenance_join", "candidate-audit": "candidate_provenance_join", "alias-proposal-audit": "alias_confidence_bands", "alias-review-queue": "alias_review_queue",
+    "decide-alias": "alias_decision_issues", "resolve-alias": "alias_resolution", "resolve-candidate": "candidate_exclusion_audit", "candidate-resolution-queue": "resolution_queue_groups",
+    "entity-registry-audit": "entity_blocking_validities", "safe-entities": "safe_entity_projection", "document-entity-coverage": "coverage_with_issues", "document-entity-readiness": "readiness_status",
+    "corpus-entity-readiness": "corpus_readiness", "ready-document-versions": "ready_selection", "document-analysis-input": "analysis_input_texts", "compare-document-event-similarity": "pair_similarity_combined",
+    "youtube-transcript-tracks": "transcript_tracks", "ingest-transcript": "transcript_fold", "inspect-document-text": "line_blocks_with_offsets", "inspect-transcript-timeline": "transcript_timeline_counts",
+    "segment-event-fragments": "heading_sections", "extract-event-observations": "fragment_exclusions", "profile-event-fragments": "fragment_profiles", "compare-event-fragments": "fragment_pairs_status",
+    "propose-event-fragment-clusters": "fragment_cliques", "review-event-fragment-clusters": "cluster_review_status", "prepare-analysis": "candidate_fingerprint", "execute-analysis": "synthetic_structural_score",
+    "analysis-evidence": "evidence_verification", "analysis-attempts": "run_claims", "recover-analysis": "stale_runs", "inspect-synthetic-corpus-intake": "corpus_intake_issues", "build-synthetic-corpus": "hash_split_assignment",
+    "verify-synthetic-corpus-build": "corpus_verification", "validate-synthetic-corpus": "exact_duplicate_groups", "calibrate-synthetic-origin": "calibrated_threshold", "evaluate-synthetic-origin": "sliced_metrics",
+    "telegram-bot": "subscriber_states",
 }
 
 

@@ -62,7 +62,7 @@ def claims(events: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("run_id").orderBy("at", "event_id")
     rows = events.withColumn("_before", F.lag("kind").over(w))
-    valid = ~((F.col("kind") == "claimed") & (F.col("_before") == "claimed"))
+    valid = ~((F.col("kind") == "claimed") & F.col("_before").eqNullSafe(F.lit("claimed")))
     kept = rows.where(valid)
     by = kept.groupBy("run_id").agg(F.max_by("kind", F.struct("at", "event_id")).alias("last"), F.count_if(F.col("kind") == "claimed").alias("attempt_count"), F.max(F.when(F.col("kind") == "claimed", F.col("at"))).alias("claimed_at"))
     status = F.when(F.col("last") == "claimed", "running").when(F.col("last") == "recovered", "failed").otherwise(F.col("last"))

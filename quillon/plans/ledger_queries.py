@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import ledger as L
 from quillon.operators import registry as R
+from quillon.operators import runs as U
 
 from ._registry import query
 
@@ -313,3 +314,25 @@ def identity_violations(t):
     """Labels, to which some are added that may be there already."""
     more = t.documents.select("doc_id")
     return L.violations(t.labels.select("doc_id").union(more.where("doc_id % 50 = 0")).union(more.where("doc_id % 100 = 0")), "doc_id")
+
+
+_RUNS = """k AS (SELECT user_id AS run_id, event_id, ts, CASE event_type WHEN 'click' THEN 'claimed' WHEN 'view' THEN 'claimed' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'prepared' END AS kind FROM events),
+    w AS (SELECT *, lag(kind) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS before FROM k), v AS (SELECT * FROM w WHERE NOT (kind = 'claimed' AND coalesce(before, '') = 'claimed')),
+    r AS (SELECT run_id, arg_max(kind, (ts, event_id)) AS last, count(*) FILTER (WHERE kind = 'claimed') AS attempt_count, max(ts) FILTER (WHERE kind = 'claimed') AS claimed_at FROM v GROUP BY 1),
+    s AS (SELECT run_id, CASE last WHEN 'claimed' THEN 'running' ELSE last END AS status, attempt_count, claimed_at FROM r)"""
+
+
+def _runs(t):
+    kind = F.col("event_type")
+    told = F.when(kind.isin("click", "view"), "claimed").when(kind == "purchase", "succeeded").when(kind == "error", "failed").otherwise("prepared")
+    return U.claims(t.events.select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").alias("at"), told.alias("kind")))
+
+
+@query(f"WITH {_RUNS} SELECT run_id, status, attempt_count FROM s")
+def run_claims(t):
+    return _runs(t).select("run_id", "status", "attempt_count")
+
+
+@query(f"WITH {_RUNS} SELECT run_id, attempt_count FROM s WHERE status = 'running' AND claimed_at < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 90 MINUTE")
+def stale_runs(t):
+    return U.stale(_runs(t), "2024-01-31 00:00:00", 90).select("run_id", "attempt_count")

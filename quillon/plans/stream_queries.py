@@ -99,3 +99,38 @@ def feed_entries(t):
 def retrieval_outcomes(t):
     code = F.get(F.array(*[F.lit(c) for c in (200, 204, 401, 403, 404, 410, 500, 302)]), (F.col("event_id") % 8).cast("int"))
     return t.events.select("event_id", feeds.outcome(code).alias("outcome"))
+
+
+@query(
+    """WITH x AS (SELECT doc_id, source AS video_id, lang AS track_id, CASE WHEN doc_id % 5 < 2 THEN 'publisher' ELSE 'automatic' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'vtt' ELSE 'srv3' END AS ext, CASE WHEN doc_id % 7 <> 0 THEN 'https://e.invalid/' || doc_id END AS url FROM documents WHERE doc_id % 2 = 0 OR lang <> 'en'),
+    g AS (SELECT video_id, track_id, count(*) FILTER (WHERE ok AND kind = 'publisher') AS p, count(*) FILTER (WHERE ok AND kind = 'automatic') AS a, min(url) FILTER (WHERE ok AND kind = 'publisher') AS pu, min(url) FILTER (WHERE ok AND kind = 'automatic') AS au
+      FROM (SELECT *, ext = 'vtt' AND url IS NOT NULL AS ok FROM x) GROUP BY 1, 2)
+    SELECT video_id, track_id, CASE WHEN p = 1 THEN pu WHEN p = 0 AND a = 1 THEN au END AS url, CASE WHEN p = 1 THEN NULL WHEN p > 1 THEN 'ambiguous_publisher' WHEN a > 1 THEN 'ambiguous_automatic' WHEN a = 0 THEN 'no_track' END AS issue FROM g"""
+)
+def transcript_tracks(t):
+    i = F.col("doc_id")
+    rows = t.documents.where("doc_id % 2 = 0 or lang <> 'en'").select(
+        F.col("source").alias("video_id"), F.col("lang").alias("track_id"), F.when(i % 5 < 2, "publisher").otherwise("automatic").alias("kind"), F.when(i % 3 == 0, "vtt").otherwise("srv3").alias("ext"),
+        F.when(i % 7 != 0, F.concat(F.lit("https://e.invalid/"), i.cast("string"))).alias("url"),
+    )
+    return X.select_track(rows, allow_automatic=True)
+
+
+@query()
+def transcript_timeline_counts(t):
+    return X.timeline_counts(X.normalize(_cues(t)))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', ' ', 'g'), '\\s+', ' ', 'g')) AS said FROM conversations)
+    SELECT conv_id AS transcript_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue_index, turn * 2000 AS start_ms, turn * 2000 + 1500 AS end_ms, said AS text FROM c WHERE said <> ''"""
+)
+def caption_round_trip(t):
+    """Turns written as WebVTT and parsed again."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,]", " ")
+    stamp = lambda ms: F.concat(F.format_string("%02d:%02d:%02d.", (ms / 3600000).cast("int"), (ms / 60000 % 60).cast("int"), (ms / 1000 % 60).cast("int")), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    at = F.col("turn") * 2000
+    cue = F.concat(stamp(at), F.lit(" --> "), stamp(at + 1500), F.lit("\n<c>"), said, F.lit("</c>"))
+    files = t.conversations.groupBy(F.col("conv_id").alias("transcript_id")).agg(F.sort_array(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("cues"))
+    text = F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("cues", lambda c: c["cue"]), "\n\n"))
+    return X.captions(files.select("transcript_id", text.alias("text"))).drop("carried")
