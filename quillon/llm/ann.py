@@ -17,7 +17,7 @@ true neighbours, and is reranked by the exact Euclidean distance. Queries that h
 with a larger reach and no radius, in the end over everything.
 
 Vectors that are equal are one entry with their smallest ids (one more than are asked for; no answer can need others), so a
-vector that many rows share is no hot key. Keys are as many as rows, so none is hot unless texts' vectors agree in many bits.
+vector that many rows share is no hot key. A key is hot only where many different vectors agree in a whole substring.
 
 Edge cases: vectors that are null, of no length, zero, or hold null or non-finite components take no part, nor do rows without
 vec_id; vectors of different lengths have no distance, each length is searched by itself; a query's own id is no answer;
