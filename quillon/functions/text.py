@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from quillon.shipping import packaged
 
 ASCII_WORD = "[A-Za-z]+(?:['’][A-Za-z]+)?"
 TERM = "(?U)[^\\W_]+(?:['’][^\\W_]+)?"
@@ -162,3 +168,29 @@ def command(x) -> tuple[Column, Column]:
     first = F.regexp_extract(text, "^/([^\\s@]*)", 1)
     rest = F.regexp_extract(text, "(?s)^\\S+\\s+(.*)$", 1)
     return F.when(is_command, casefold(first)), F.when(is_command & text.rlike("^\\S+\\s+\\S"), rest)
+
+
+def unicode_form(x, form: str) -> Column:
+    """Text in a Unicode normal form (NFC, NFD, NFKC, NFKD). ASCII text is in all of them and never leaves the JVM."""
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"no normal form {form!r}")
+
+    def normalize(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize(form, t) for t in texts.to_pylist()], pa.string())
+
+    packaged()
+    text = column(x)
+    ascii_ = text.rlike("\\A\\p{ASCII}*\\z")
+    return F.when(ascii_, text).otherwise(F.arrow_udf(normalize, StringType())(F.when(~ascii_, text)))
+
+
+def canonical_mention(x) -> Column:
+    """NFKC, white space squeezed, case folded: the form by which mentions are compared."""
+    return casefold(squeeze(unicode_form(x, "NFKC")))
+
+
+def stored_text(x) -> tuple[Column, Column]:
+    """NFC text with line ends as \\n, and the problem that keeps it from being stored: a NUL character, or nothing to read."""
+    text = F.regexp_replace(unicode_form(x, "NFC"), "\r\n?", "\n")
+    issue = F.when(F.contains(text, F.lit("\0")), "nul_character").when(~F.coalesce(text.rlike("\\S"), F.lit(False)), "blank")
+    return F.when(issue.isNull(), text), issue

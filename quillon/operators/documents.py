@@ -14,6 +14,8 @@ CERTAINTY = ("certainly", "clearly", "definitely", "inevitably", "must", "obviou
 UNCERTAINTY = ("allegedly", "apparently", "could", "likely", "may", "might", "perhaps", "possibly", "reportedly", "unlikely")
 FEAR = ("catastrophe", "chaos", "collapse", "devastating", "disaster", "fear", "nightmare", "panic", "terror")
 THREAT = ("aggression", "attack", "danger", "destroy", "enemy", "existential", "extinction", "hostile", "invasion", "threat")
+FIRST_PLURAL = ("we", "our", "ours", "us")
+THIRD_PLURAL = ("they", "their", "theirs", "them")
 LEXICONS = {"certainty": CERTAINTY, "uncertainty": UNCERTAINTY, "fear": FEAR, "threat": THREAT}
 FORMULAIC = (
     "in conclusion", "it is important to note", "it is worth noting", "delve into", "a testament to",
@@ -77,6 +79,22 @@ def marker_counts(docs: DataFrame, lexicons: dict[str, tuple[str, ...]] = LEXICO
     return words.select("doc_id", *[hits(terms).alias(name) for name, terms in lexicons.items()])
 
 
+def discourse(docs: DataFrame, lexicons: dict[str, tuple[str, ...]] = LEXICONS, lemma=F.lower) -> DataFrame:
+    """Words, sentences, words a sentence, question and exclamation marks, plural pronouns and markers of each lexicon.
+
+    A sentence is what lies between sentence ends (. ! ? before white space or at the end) and holds a letter. A text without words is blank: its issue says so and its average is null. lemma maps a word column.
+    """
+    mark = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("long")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", F.transform(T.ascii_words("text"), lambda w: lemma(w)))
+    hits = lambda terms: F.size(F.filter("w", lambda x: x.isin(*terms))).cast("long")
+    pieces = F.filter(F.split("text", "[.!?]+(?:\\s|$)", -1), lambda s: s.rlike("[A-Za-z]"))
+    n, m = F.size("w").cast("long"), F.size(pieces).cast("long")
+    return rows.select(
+        "doc_id", n.alias("word_count"), m.alias("sentence_count"), (n / F.nullif(m, F.lit(0))).alias("average_sentence_length"), mark("?").alias("questions"), mark("!").alias("exclamations"),
+        hits(FIRST_PLURAL).alias("first_person_plural"), hits(THIRD_PLURAL).alias("third_person_plural"), *[hits(terms).alias(name) for name, terms in lexicons.items()], F.when(n == 0, "blank").alias("issue"),
+    )
+
+
 def marker_evidence(docs: DataFrame, lexicons: dict[str, tuple[str, ...]] = LEXICONS) -> DataFrame:
     """One row for each document, category and sentence with a marker: hits, sorted distinct terms, the sentence's hash."""
     listed = F.array(*[F.struct(F.lit(c).alias("category"), F.array(*[F.lit(t) for t in terms]).alias("terms")) for c, terms in lexicons.items()])

@@ -168,3 +168,21 @@ def page_hashes(t):
 @query()
 def html_main_text(t):
     return t.pages.select("page_id", T.html_main_text("html").alias("main_text"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: lower(x)) AS w, len(list_filter(string_split_regex(text, '[.!?]+(\\s|$)'), lambda x: regexp_matches(x, '[A-Za-z]'))) AS m FROM documents)
+    SELECT doc_id, len(w) AS word_count, m AS sentence_count, CAST(floor(len(w)::DOUBLE / nullif(m, 0) * 100 + 0.5) AS BIGINT) AS average_sentence_length, length(text) - length(replace(text, '?', '')) AS questions, length(text) - length(replace(text, '!', '')) AS exclamations,
+      len(list_filter(w, lambda x: x IN ({_listed(D.FIRST_PLURAL)}))) AS first_person_plural, len(list_filter(w, lambda x: x IN ({_listed(D.THIRD_PLURAL)}))) AS third_person_plural,
+      """
+    + ", ".join(f"len(list_filter(w, lambda x: x IN ({_listed(v)}))) AS {k}" for k, v in _FREQUENT.items())
+    + ", CASE WHEN len(w) = 0 THEN 'blank' END AS issue FROM d"
+)
+def discourse_profile(t):
+    return D.discourse(t.documents, _FREQUENT).withColumn("average_sentence_length", N.scaled("average_sentence_length", 100))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(replace(text, 'é', 'e' || chr(769)))) AS text_hash FROM documents")
+def unicode_normal_forms(t):
+    apart = F.replace("text", F.lit("é"), F.lit("e\u0301"))
+    return t.documents.select("doc_id", N.sha256(T.unicode_form(apart, "NFC")).alias("text_hash"))
