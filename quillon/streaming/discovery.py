@@ -81,7 +81,7 @@ def counts_after(items: DataFrame, cursors: DataFrame, id_: str = "item_id", par
     part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("v"))) if bounds else F.lit(0)
     held = {r["part"]: r["count"] for r in ids.groupBy(part.alias("part")).count().collect()}
     higher = F.array(*[F.lit(sum(n for p, n in held.items() if p > i)).cast("long") for i in range(len(bounds) + 1)])
-    newest = F.lit(known["newest"])
+    newest = F.lit(known["newest"]).cast("long")
     # Without a cursor a subscriber starts at the newest item, so nothing is beyond; the same holds from there on.
     behind = cursors.where(F.col("cursor") < newest).select("subscriber_id", F.col("cursor").alias("v"))
     marks = ids.groupBy("v").agg(F.count("*").alias("n")).union(behind.select("v").distinct().select("v", F.lit(0).cast("long")))
