@@ -27,7 +27,6 @@ smaller vec_id; with fewer candidates than k all are returned; other columns are
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +40,7 @@ from ._shared import map_arrow, materialize
 MOST_PARTS = 64
 MOST_LOOSE = 9
 CHECK = 256
+PROBES = 1 << 12  # masks at once
 _odd = np.random.Generator(np.random.PCG64(41)).integers(1, 1 << 62, (2, 1 << 12), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -81,8 +81,10 @@ def masks(width: int, reach: int, loose: int = 0) -> np.ndarray:
     """All numbers of `width` bits with `reach` ones or fewer, or with ones in the `loose` lowest bits alone."""
     if reach >= width:
         return np.arange(1 << width, dtype=np.int64)
-    near = [sum(1 << b for b in ones) for n in range(reach + 1) for ones in itertools.combinations(range(width), n)]
-    return np.union1d(np.array(near, np.int64), np.arange(1 << min(loose, width), dtype=np.int64))
+    all_ = np.arange(1 << width, dtype=np.int32)
+    near = np.bitwise_count(all_) <= reach
+    near[: 1 << min(loose, width)] = True
+    return np.flatnonzero(near)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -208,7 +210,8 @@ def near_none(d: int) -> np.ndarray:
 
 
 def build_index(rows: DataFrame, codes: Codes, d: int) -> DataFrame:
-    """key, rep, b0, b1 ... (the checked bits): a row for each entry and substring."""
+    """key, rep, b0, b1 ... (the checked bits): a row for each entry and substring. It is made as it is searched and only lies
+    on disk as the join shuffles it."""
 
     def run(batches):
         for batch in batches:
@@ -219,25 +222,27 @@ def build_index(rows: DataFrame, codes: Codes, d: int) -> DataFrame:
 
     checked = [f"b{k}" for k in range(CHECK // 64)]
     coded = map_arrow(rows.select("rep", "v"), run, "rep long, keys array<long>, " + ", ".join(f"{c} long" for c in checked))
-    return materialize(coded.select(F.explode("keys").alias("key"), "rep", *checked), "ann-index")
+    return coded.select(F.explode("keys").alias("key"), "rep", *checked)
 
 
 def _probes(asked: DataFrame, codes: Codes, d: int, reach: int, loose: int) -> DataFrame:
     parts = 1 if reach >= codes.width else codes.parts
-    near = masks(codes.width, reach, loose)
-    picked = (near[:, None] >> np.arange(codes.width)) & 1
 
     def run(batches):
+        near = masks(codes.width, reach, loose)
         for batch in batches:
             margins = codes.margins(_matrix(batch.column(1), d))
             bits = margins > 0
             check, keys = codes.check(bits), codes.keys(bits)[:, :parts]
             order = np.abs(margins[:, : parts * codes.width]).reshape(len(margins), parts, codes.width).argsort(2)
             for at in range(len(keys)):
-                out = (keys[at][:, None] ^ ((1 << order[at]) @ picked.T)).reshape(-1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 1), pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out)), *(pa.array(c[at : at + 1]) for c in check)], names=["q", "keys", *checked]
-                )
+                turned = 1 << order[at]
+                for a in range(0, len(near), PROBES):
+                    picked = (near[a : a + PROBES, None] >> np.arange(codes.width)) & 1
+                    out = (keys[at][:, None] ^ (turned @ picked.T)).reshape(-1)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at, 1), pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out)), *(pa.array(c[at : at + 1]) for c in check)], names=["q", "keys", *checked]
+                    )
 
     checked = [f"q{k}" for k in range(CHECK // 64)]
     coded = map_arrow(asked.select("rep", "v"), run, "q long, keys array<long>, " + ", ".join(f"{c} long" for c in checked))
@@ -245,8 +250,12 @@ def _probes(asked: DataFrame, codes: Codes, d: int, reach: int, loose: int) -> D
 
 
 def _search(asked: DataFrame, rows: DataFrame, index: DataFrame, codes: Codes, d: int, reach: int, loose: int, radius: int) -> DataFrame:
-    """q, rep, score: every entry that the probes of asked (rep, v) meet within the radius."""
-    met = _probes(asked, codes, d, reach, loose).join(index, "key")
+    """q, rep, score: every entry that the probes of asked (rep, v) meet within the radius.
+
+    Spark takes the probes to be as small as the queries they come from and would gather them in the driver to broadcast them;
+    they are hundreds of rows for each substring, so both sides are shuffled.
+    """
+    met = _probes(asked, codes, d, reach, loose).hint("shuffle_merge").join(index, "key")
     if radius < CHECK:
         apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(CHECK // 64)), F.lit(0))
         met = met.where(apart <= radius)

@@ -142,6 +142,18 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert ann.nearest(few.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_probes_are_not_gathered_in_the_driver(spark):
+    x = np.random.default_rng(1).normal(size=(600, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    kinds = ann.entries(ann.usable(table), 8, 10)
+    codes = ann.learn_codes(kinds, 8, 600, 10)
+    found = ann._search(kinds.where("rep % 50 = 0"), kinds, ann.build_index(kinds, codes, 8), codes, 8, codes.reach, codes.loose, codes.radius)
+    assert "SortMergeJoin [key" in found._jdf.queryExecution().executedPlan().toString()
+    for width, reach, loose in ((6, 2, 3), (9, 0, 4), (5, 5, 0)):
+        want = [v for v in range(1 << width) if v.bit_count() <= reach or v < 1 << loose]
+        assert ann.masks(width, reach, loose).tolist() == want
+
+
 def test_chat_round_trip_and_machine(spark):
     nasty = ["\\### Assistant: </turn> ok", "", None, "a</turn>\n### User: b", "####", "\\h\\t\\b", "x" * 5000, "</tur", "###: #\\"]
     rows = [(c, k, r, t) for c, (r, t) in enumerate((r, t) for r in ("user", "assistant", "tool: @x\n", None, "System") for t in nasty) for k in (0, 1)]
