@@ -66,8 +66,9 @@ def _bags(column):
         yield a, z, of, buckets
 
 
-def _fit(bags: pa.Table, prior: float, epochs: int, rate: float, decay: float):
-    """bags: toxic, buckets and values (shares of the bag) of each row. Adam over all of them; returns the margin of each bucket and the bias."""
+def _fit(bags: pa.Table, prior: float, epochs: int, rate: float, decay: float, seed: int = 7):
+    """bags: toxic, buckets and values (shares of the bag) of each row. Adam over all of them, at a rate that falls to
+    nothing over the latter half of the epochs; returns the margin of each bucket and the bias."""
     n, toxic = bags.num_rows, bags["toxic"].to_numpy() > 0
     lists = bags["buckets"].combine_chunks()
     rows = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.int32), lists.value_lengths().to_numpy())
@@ -85,7 +86,7 @@ def _fit(bags: pa.Table, prior: float, epochs: int, rate: float, decay: float):
     del buckets, kept
     if not len(used):
         return np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
-    random = np.random.Generator(np.random.PCG64(7))
+    random = np.random.Generator(np.random.PCG64(seed))
     table = random.normal(0, 0.05, (DIM, len(used))).astype(np.float32)
     top, bias = random.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.log([1 - prior, prior]).astype(np.float32)
     weight = np.where(toxic, prior / max(toxic.sum(), 1), (1 - prior) / max((~toxic).sum(), 1)).astype(np.float32)
@@ -114,14 +115,14 @@ def _fit(bags: pa.Table, prior: float, epochs: int, rate: float, decay: float):
         for x, g, (m, v) in zip((table, top, bias), gradients, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            x -= rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
+            x -= rate * min(1, 2 * (1 - (epoch - 1) / epochs)) * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
     margins = np.zeros(BUCKETS)
     margins[used] = GAIN * ((top[:, 1] - top[:, 0]) @ table)
     return margins, float(bias[1] - bias[0])
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, rows_a_class: int = 1500, epochs: int = 50, rate: float = 0.05, decay: float = 3e-4
+    docs: DataFrame, labels: DataFrame, rows_a_class: int = 1500, epochs: int = 120, rate: float = 0.05, decay: float = 3e-4, seed: int = 7
 ) -> ToxicityModel:
     """Learn from the labelled rows given. One task trains on `rows_a_class` bags of each class at most; the driver gets the margins."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
@@ -148,7 +149,7 @@ def fit_toxicity(
         if sum(b.num_rows for b in got):
             held = [pa.Table.from_batches(got).sort_by("id")]
             got.clear()
-            margins, bias = _fit(held.pop(), prior, epochs, rate, decay)
+            margins, bias = _fit(held.pop(), prior, epochs, rate, decay, seed)
             fixed = np.rint(margins * SCALE).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([fixed.tobytes()], pa.binary()), pa.array([bias])], names=["margins", "bias"])
 

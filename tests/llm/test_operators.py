@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -142,6 +143,23 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert ann.nearest(few.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_toxicity_is_learned_from_any_start():
+    rng, words = np.random.default_rng(5), 1500
+    toxic, bags = np.arange(600) % 2, []
+    for t in toxic:
+        bag = rng.integers(100, 4000, words)
+        if t:
+            bag[:4] = rng.integers(0, 40, 4)  # few telling words among many
+        bags.append(np.unique(bag))
+    lists = [pa.array([b.astype(np.int16) for b in bags], pa.list_(pa.int16())), pa.array([np.full(len(b), 1 / words, np.float32) for b in bags], pa.list_(pa.float32()))]
+    table = pa.table({"toxic": pa.array(toxic), "buckets": lists[0], "values": lists[1]})
+    defaults = {k: v.default for k, v in inspect.signature(toxicity.fit_toxicity).parameters.items()}
+    for seed in (7, 14):
+        margins, bias = toxicity._fit(table, 0.1, *(defaults[k] for k in ("epochs", "rate", "decay")), seed)
+        margin = np.array([margins[b].sum() / words + bias for b in bags])
+        assert (margin[toxic == 1] >= 0).mean() > 0.9 and (margin[toxic == 0] >= 0).mean() < 0.02
+
+
 def test_probes_are_not_gathered_in_the_driver(spark):
     x = np.random.default_rng(1).normal(size=(600, 8))
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
