@@ -4,7 +4,8 @@ Every document is a bag of byte 4-grams, hashed to 2^16 buckets. One multinomial
 over those that labels mark as good; a document's score is its mean log ratio, in fixed point so that it is the same
 whatever the partitioning. Documents below a fixed threshold fail, as do those that fail the base rules.
 
-The trusted sample has at most `trusted_rows` labelled rows (smallest hashes of doc_id); the raw counts take every text.
+The trusted rows are all that labels mark as good; the raw counts take every text. Up to BROADCAST trusted ids are broadcast,
+so that no text is shuffled; more are joined.
 
 Edge cases: a null or empty text has no words and fails; texts of fewer than 4 bytes score 0; without any trusted row
 every score is 0 and only the base rules decide; repeated rows are judged each by itself; other columns pass through,
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import annotate, blocks, map_arrow, utf8
+from ._shared import annotate, blocks, map_arrow, materialize, utf8
 
 GRAM = 4
 BUCKETS = 1 << 16
 SCALE = 1 << 16
+BROADCAST = 4_000_000
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, llr double, kept boolean"
@@ -101,19 +103,32 @@ def _each(column):
         yield a, z, W.Block(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
 
 
-def trusted_rows(labels: DataFrame, label: str, value: int, limit: int) -> DataFrame:
-    """At most `limit` ids of rows with this label: those of the smallest hashes, so any run takes the same ones."""
-    ids = labels.where(F.col(label) == value).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    return ids.orderBy(F.xxhash64("_id"), "_id").limit(limit)
+def trusted_rows(labels: DataFrame, label: str, value: int) -> DataFrame:
+    """The distinct ids of all rows with this label."""
+    return labels.where(F.col(label) == value).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, trusted: int = 20_000, quantile: float = 0.001, margin: float = 0.05) -> QualityModel:
-    """Count both multinomials and set the threshold: `margin` under the given quantile of trusted documents' scores.
+def lower_quantile(rows: DataFrame, column: str, quantile: float) -> float | None:
+    """The exact quantile, linear between neighbours, of all values that aren't null. The driver gets one row; the values up to the quantile are sorted."""
+    n = rows.where(F.col(column).isNotNull()).count()
+    if not n:
+        return None
+    at = quantile * (n - 1)
+    low = int(at)
+    least = rows.where(F.col(column).isNotNull()).select(column).orderBy(column).limit(low + 2)
+    ends = least.orderBy(F.desc(column)).limit(2 if n > low + 1 else 1).toPandas()[column].tolist()[::-1]
+    return float(ends[0] + (ends[-1] - ends[0]) * (at - low))
 
-    Only trusted documents that pass the base rules set it. What reaches the driver is bounded: BUCKETS rows of counts
-    and at most `trusted` scores.
+
+def fit_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.001, margin: float = 0.05) -> QualityModel:
+    """Count both multinomials and set the threshold: `margin` under the given quantile of all trusted documents' scores.
+
+    Only trusted documents that pass the base rules set it. The driver gets BUCKETS rows of counts and two scores.
     """
-    sample = F.broadcast(trusted_rows(labels, "quality", 1, trusted).withColumn("_good", F.lit(True)))
+    ids = trusted_rows(labels, "quality", 1)
+    sample = ids.withColumn("_good", F.lit(True))
+    if ids.count() <= BROADCAST:
+        sample = F.broadcast(sample)
     marked = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id"), "left").select("text", "_good")
 
     def count(batches):
@@ -136,8 +151,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trusted: int = 20_000, quant
     ratio = np.log((good + 0.5) / (good.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
     weights = np.rint(ratio * SCALE).astype(np.int32)
     sampled = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id"), "inner").select("text")
-    scores = score_quality(sampled, QualityModel(weights, -np.inf)).where(~F.col("base_failed")).select("llr").toPandas()["llr"]
-    threshold = float(np.quantile(scores, quantile)) - margin if len(scores) else -np.inf
+    scores = score_quality(sampled, QualityModel(weights, -np.inf)).where(~F.col("base_failed")).select("llr")
+    bar = lower_quantile(materialize(scores, "trusted-scores"), "llr", quantile)
+    threshold = -np.inf if bar is None else bar - margin
     return QualityModel(weights, threshold)
 
 

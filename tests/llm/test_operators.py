@@ -160,6 +160,20 @@ def test_toxicity_is_learned_from_any_start():
         assert (margin[toxic == 1] >= 0).mean() > 0.9 and (margin[toxic == 0] >= 0).mean() < 0.02
 
 
+def test_quality_takes_all_trusted_rows(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 60}x" for j in range(60))) for i in range(25_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    model = quality.fit_quality(docs, labels)  # all are trusted: both counts are the same
+    assert not model.weights.any() and model.threshold == -0.05
+    values = np.random.default_rng(2).normal(size=5003)
+    for n in (0, 1, 2, 3, 1001, 5003):
+        table = spark.createDataFrame([(float(v),) for v in values[:n]], "x double")
+        for q in (0.0, 0.001, 0.5, 1.0):
+            got = quality.lower_quantile(table, "x", q)
+            assert got is None if not n else abs(got - np.quantile(values[:n], q)) < 1e-12
+
+
 def test_probes_are_not_gathered_in_the_driver(spark):
     x = np.random.default_rng(1).normal(size=(600, 8))
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
