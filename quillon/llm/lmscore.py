@@ -4,7 +4,7 @@ A text is its tokens: lower-cased words, then one end. Each token is a path of b
 predicted by four predictors from the counts of zeros and ones that training texts had at it: over everything (exact), in the
 class of text that the tokens before point to (exact), after the token before, and after the two tokens before (both hashed).
 Their logits are combined by a weight vector that a gate selects (how often either hashed context was seen); an adaptive table
-refines the mixed probability. The weights learn online, piece by piece, each event predicted from the counts of all others.
+refines the mixed probability. The weights learn online, in rounds, each event predicted from the counts of all others.
 
 Paths. Training tokens that make up 1/SHARE of all or more are symbols, as are the end and one escape for all other tokens.
 They stand in order of the class they are most frequent in, and every decision halves what is left by training counts, so the
@@ -21,8 +21,12 @@ come from training texts, and sums are in fixed point, so scores depend neither
 order of rows or their partitions.
 
 Bounds. At most SHARE symbols are broadcast, whatever the corpus. The two hashed tables have 2^bits slots, where bits follows
-the number of training tokens up to TABLE_BITS: beyond that contexts share slots. The mixing weights (a classifier of 5 inputs
-and 16 gates) are learned from the `mixer_rows` training texts and `mixer_tokens` tokens of the smallest hashes.
+the number of training tokens up to TABLE_BITS: beyond that contexts share slots.
+
+Learning. The mixing weights (5 inputs and 16 gates) and the table that refines learn from every event of all training texts
+and of all tokens that are no symbols. A hash deals them into ROUNDS rounds, of which each is as large as all before it. A round
+is predicted with the weights that the rounds before left, and ends with an online Newton step: its gradient, over the squared
+gradients of all events so far. Sums are whole numbers, so it does not matter which task adds up what.
 
 Edge cases: a null or empty text is the end alone; without any training text every score is what the untrained model gives;
 repeated rows each get a row; texts are read whole; other columns are ignored.
@@ -53,7 +57,9 @@ EVENT = 1 << 20
 _PIECE = 1 << 15
 _BLOCK = 1 << 13
 _HELD = 1 << 21
-STEPS, RATE = 33, 0.5
+STEPS = 33
+ROUNDS, PRIOR = 4, 20.0
+_ERROR, _SQUARE, _INPUT = 1 << 24, 1 << 16, 16  # units of errors, squared errors and inputs in sums
 _START, _STOP = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _SEEN = np.array([1, 3, 16])  # a hashed context seen never, once or twice, up to 15 times, more often
@@ -78,8 +84,11 @@ class Mixer:
     k: int
     weights: np.ndarray = field(default=None)
     refined: np.ndarray = field(default_factory=lambda: np.zeros((GATES, STEPS, 2)))
+    precision: np.ndarray = field(default=None)
 
     def __post_init__(self):
+        if self.precision is None:
+            self.precision = np.tile(PRIOR * np.eye(self.k + 1), (GATES, 1, 1))
         if self.weights is None:
             self.weights = np.column_stack([np.full((GATES, self.k), 1.2 / self.k), np.zeros(GATES)])
 
@@ -92,14 +101,12 @@ class Mixer:
         step = np.rint((z + np.float32(16)) * np.float32((STEPS - 1) / 32)).astype(np.int64)
         return 1 / (1 + np.exp(-z)), step
 
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, ones: np.ndarray) -> None:
-        p, step = self.mixed(x, gate)
-        error, share = ones - p, np.bincount(gate, minlength=GATES) + 50
-        for k in range(self.k):
-            self.weights[:, k] += RATE * np.bincount(gate, error * x[k], GATES) / share
-        self.weights[:, self.k] += RATE * np.bincount(gate, error, GATES) / share
-        cell = (gate * STEPS + step) * 2 + ones
-        self.refined += np.bincount(cell, minlength=GATES * STEPS * 2).reshape(GATES, STEPS, 2)
+    def step(self, sums: np.ndarray) -> None:
+        """An online Newton step with the sums of a round."""
+        gradient, squares, seen = _Sums.split(sums, self.k + 1)
+        self.refined += seen
+        self.precision += squares / (_SQUARE * _INPUT**2)
+        self.weights += np.linalg.solve(self.precision, gradient[..., None] / (_ERROR * _INPUT))[..., 0]
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """By gate and step: the weight of the mixed probability, and what is added to it."""
@@ -117,6 +124,64 @@ class Mixer:
         return np.log2(np.clip(p, 1e-7, 1, out=p))
 
 
+class _Sums:
+    """What a round of events adds to a mixer, in whole numbers: by gate the gradient, the squares and how often each step was seen."""
+
+    def __init__(self, mixer: Mixer):
+        self.mixer, k = mixer, mixer.k + 1
+        self.all = np.zeros(GATES * (k + k * k + STEPS * 2), np.int64)
+        self.gradient, self.squares, self.seen = self.split(self.all, k)
+
+    @staticmethod
+    def split(sums: np.ndarray, k: int):
+        gradient, squares, seen = np.split(sums, [GATES * k, GATES * (k + k * k)])
+        return gradient.reshape(GATES, k), squares.reshape(GATES, k, k), seen.reshape(GATES, STEPS, 2)
+
+    def add(self, x: list[np.ndarray], gate: np.ndarray, ones: np.ndarray) -> None:
+        whole = [np.rint(v * np.float32(_INPUT)) for v in x]
+        p, step = self.mixer.mixed([v * np.float32(1 / _INPUT) for v in whole], gate)
+        step += gate * STEPS
+        self.seen += np.bincount(step * 2 + ones, minlength=GATES * STEPS * 2).reshape(GATES, STEPS, 2)
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=GATES))])
+        inputs = np.full((len(whole) + 1, len(gate)), float(_INPUT))
+        for row, v in zip(inputs, whole, strict=False):
+            row[:] = v.take(order)
+        error = np.rint((ones - p) * np.float32(_ERROR)).take(order).astype(np.float64)
+        square = np.rint(error * error * (_SQUARE / _ERROR**2))
+        # Products of whole numbers that stay below 2^53: exact in any order.
+        for g in np.flatnonzero(np.diff(bounds)):
+            own = inputs[:, bounds[g] : bounds[g + 1]]
+            self.gradient[g] += (own @ error[bounds[g] : bounds[g + 1]]).astype(np.int64)
+            self.squares[g] += ((own * square[bounds[g] : bounds[g + 1]]) @ own.T).astype(np.int64)
+
+    def rows(self):
+        cell = np.flatnonzero(self.all)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(self.all[cell])], names=["cell", "n"])
+
+
+def _learned(rows: DataFrame, by, k: int, events) -> Mixer:
+    """A mixer that has learned from all rows. by: columns whose hash deals them into rounds. events: inputs, gate and bits of a
+    batch, in pieces."""
+    mixer, share = Mixer(k), F.pmod(F.xxhash64(*by), F.lit(1 << (ROUNDS - 1)))
+    for r in range(ROUNDS):
+
+        def add(batches, mixer=mixer):
+            sums = _Sums(mixer)
+            for batch in batches:
+                for x, gate, ones in events(batch):
+                    sums.add(x, gate, ones)
+            yield from sums.rows()
+
+        own = rows.where((share >= (1 << r) // 2) & (share < 1 << r))
+        added = map_arrow(own, add, "cell int, n long").groupBy("cell").agg(F.sum(F.col("n").cast("decimal(20,0)")).alias("n"))
+        total = np.zeros(len(_Sums(mixer).all))
+        for cell, n in added.collect():  # one row for each cell
+            total[cell] = float(n)
+        mixer.step(total)
+    return mixer
+
+
 class Paths:
     """Symbols in order and the decisions that lead to each. weight: of each symbol; by_class: the same by class."""
 
@@ -149,19 +214,21 @@ class Paths:
         self.start = np.cumsum(self.size) - self.size
         self.sides, self.class_sides = np.stack([left, right]), np.stack([lefts.T, rights.T])
         logit, own = self.logits(*self.sides, *self.class_sides)
-        self.logit, self.class_logit = logit.astype(np.float32), own.astype(np.float32)
+        self.logit, self.class_logit, self.sides, self.class_sides = (x.astype(np.float32, order="C") for x in (logit, own, self.sides, self.class_sides))
 
     @staticmethod
     def logits(left, right, lefts, rights):
-        share = (right + 0.3) / (left + right + 0.6)
-        own = np.log((rights + 8 * share) / (lefts + 8 * (1 - share)))
-        return np.clip(np.log(share / (1 - share)), -7.9, 7.9), np.clip(own, -7.9, 7.9)
+        share, other = ((x + 0.3) / (left + right + 0.6) for x in (right, left))
+        own = np.log((rights + 8 * share) / (lefts + 8 * other))
+        return np.clip(np.log(share / other), -7.9, 7.9), np.clip(own, -7.9, 7.9)
 
     def left_out(self, node, bit, kind, true):
         """Both logits from the counts without the event itself, which is in those of its true class."""
-        one, two = (np.maximum(self.sides[k, node] - (bit == k), 0) for k in (0, 1))
-        lefts, rights = (np.maximum(self.class_sides[k, kind, node] - ((bit == k) & (kind == true)), 0) for k in (0, 1))
-        return self.logits(one, two, lefts, rights)
+        met, at = bit.astype(np.float32), kind * self.sides.shape[1] + node
+        mine = (kind == true).astype(np.float32)
+        sides = [np.maximum(self.sides[k].take(node) - own, 0) for k, own in enumerate((1 - met, met))]
+        class_sides = [np.maximum(self.class_sides[k].reshape(-1).take(at) - own * mine, 0) for k, own in enumerate((1 - met, met))]
+        return self.logits(*sides, *class_sides)
 
 
 @dataclass
@@ -357,7 +424,7 @@ def spell(frozen, mixer: Mixer, words: list[bytes], kinds: np.ndarray) -> np.nda
     return out
 
 
-def fit_spelling(rare: DataFrame, n_rare: int, n_classes: int, mixer_tokens: int = 20_000):
+def fit_spelling(rare: DataFrame, n_classes: int):
     """Bit counts of the distinct tokens of `rare` (token, c0 ...), once for each class that holds them, and learned weights."""
     classes, total = [f"c{k}" for k in range(n_classes)], 4 * (2 << SPELL_BITS)
 
@@ -383,49 +450,37 @@ def fit_spelling(rare: DataFrame, n_rare: int, n_classes: int, mixer_tokens: int
     counts = _summed(map_arrow(rare, count, "block int, counts binary"), total)
     raw = rare.sparkSession.sparkContext.broadcast(counts)
 
-    def learn(batches):
-        mixer, pair = Mixer(4), raw.value.reshape(-1, 2)
-        for batch in batches:
-            words, kinds = spelled_rows(batch)
-            for a, z in _word_pieces(words, _PIECE // 8):
-                spelled = _Spelling(words[a:z], kinds[a:z])
-                for bit in range(8):
-                    ones, slots = spelled.events(bit)
-                    mixer.learn(*_left_out(pair, slots, ones, (2, 3)), ones)
-        yield pa.RecordBatch.from_arrays([pa.array([mixer.weights.tobytes()]), pa.array([mixer.refined.tobytes()])], names=["weights", "refined"])
-
-    order = ["h", "token"]
-    hashed = rare
-    if n_rare > 2 * mixer_tokens:  # the smallest hashes lie well below this bound
-        hashed = hashed.where(F.col("h") < F.lit(int((2 * mixer_tokens / n_rare * 2 - 1) * (1 << 63))))
-    sample = hashed.orderBy(*order).limit(mixer_tokens).coalesce(1).sortWithinPartitions(*order)
-    mixer = _learned(map_arrow(sample, learn, "weights binary, refined binary"), 4)
+    def events(batch):
+        words, kinds = spelled_rows(batch)
+        for a, z in _word_pieces(words, _PIECE):
+            spelled = _Spelling(words[a:z], kinds[a:z])
+            for bit in range(8):
+                ones, slots = spelled.events(bit)
+                yield *_left_out(raw.value, slots, ones, (2, 3)), ones
+
+    mixer = _learned(rare, ["h", "token"], 4, events)
     raw.destroy()
     return _frozen(counts), mixer
 
 
-def _left_out(pair: np.ndarray, slots: list[np.ndarray], ones: np.ndarray, gates: tuple[int, int]):
+def _left_out(counts: np.ndarray, slots: list[np.ndarray], ones: np.ndarray, gates: tuple[int, int]):
     """Inputs of hashed slots and the gate, from the counts without the event itself."""
-    x, seen = [], []
-    for s in slots:
-        both = pair[s].astype(np.float32)
-        one, zero = np.maximum(both[:, 1] - ones, 0, dtype=np.float32), np.maximum(both[:, 0] - (1 - ones), 0, dtype=np.float32)
+    x, gate, met = [], 0, ones.astype(np.float32)
+    pairs, seen = counts.view(np.int64), dict.fromkeys(gates)
+    for k, s in enumerate(slots):
+        both = pairs.take(s).view(np.int32).astype(np.float32)
+        zero, one = np.maximum(both[0::2] - (1 - met), 0), np.maximum(both[1::2] - met, 0)
         x.append(_logit(one, zero))
-        seen.append(np.searchsorted(_SEEN, one + zero, "right"))
+        if k in seen:
+            total = zero + one
+            seen[k] = sum((total >= b).astype(np.int64) for b in _SEEN)
     return x, seen[gates[0]] * 4 + seen[gates[1]]
 
 
-def _learned(rows: DataFrame, k: int) -> Mixer:
-    got = rows.collect()  # one row, from one task
-    if not got:
-        return Mixer(k)
-    return Mixer(k, np.frombuffer(bytes(got[0]["weights"])).reshape(GATES, k + 1).copy(), np.frombuffer(bytes(got[0]["refined"])).reshape(GATES, STEPS, 2).copy())
-
-
 # --- the sequence model ------------------------------------------------------------------------------------------------------
 
 
-def fit_mixing(trained: DataFrame, often, sizes: dict, docs_of: list[int], mixer_rows: int = 3000) -> MixingModel:
+def fit_mixing(trained: DataFrame, often, sizes: dict, docs_of: list[int]) -> MixingModel:
     """trained: doc_id, text, class (a number) of training texts. often: the frequent tokens with c and c0 ... sizes: of all training tokens."""
     classes = [f"c{k}" for k in range(len(docs_of))]
     own = often[classes].to_numpy(np.int64) if len(often) else np.zeros((0, len(classes)), np.int64)
@@ -481,24 +536,16 @@ def fit_mixing(trained: DataFrame, often, sizes: dict, docs_of: list[int], mixer
     counted = _summed(map_arrow(trained.select("text"), count, "block int, counts binary"), size)
     raw = spark.broadcast(counted)
 
-    def learn(batches):
-        own, pair, mixer = bare.value, raw.value.reshape(-1, 2), Mixer(4)
-        for batch in batches:
-            kinds = batch.column(batch.schema.get_field_index("class")).to_numpy()
-            for a, z, seq in _sequences(own, batch.column(batch.schema.get_field_index("text"))):
-                true = np.repeat(kinds[a:z], np.diff(seq.bounds))
-                for low in range(0, len(seq.symbol), _PIECE // 64):
-                    n, node, bit, kind, slots = seq.events(own, low, low + _PIECE // 64)
-                    ones = bit.astype(np.int64)
-                    x, gate = _left_out(pair, slots, ones, (0, 1))
-                    mixer.learn([*own.paths.left_out(node, ones, kind, np.repeat(true[low : low + _PIECE // 64], n)), *x], gate, ones)
-        yield pa.RecordBatch.from_arrays([pa.array([mixer.weights.tobytes()]), pa.array([mixer.refined.tobytes()])], names=["weights", "refined"])
-
-    first = ["h", "doc_id"]
-    chosen = trained.select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id")).orderBy(*first).limit(mixer_rows)
-    sample = trained.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id")))
-    sample = sample.select("h", "doc_id", "text", "class").coalesce(1).sortWithinPartitions(*first, "text")
-    model.mixer = _learned(map_arrow(sample, learn, "weights binary, refined binary"), 4)
+    def events(batch):
+        own, kinds = bare.value, batch.column(batch.schema.get_field_index("class")).to_numpy()
+        for a, z, seq in _sequences(own, batch.column(batch.schema.get_field_index("text"))):
+            true = np.repeat(kinds[a:z], np.diff(seq.bounds))
+            for low in range(0, len(seq.symbol), _PIECE // 16):
+                n, node, bit, kind, slots = seq.events(own, low, low + _PIECE // 16)
+                x, gate = _left_out(raw.value, slots, bit, (0, 1))
+                yield [*own.paths.left_out(node, bit, kind, np.repeat(true[low : low + _PIECE // 16], n)), *x], gate, bit
+
+    model.mixer = _learned(trained, ["doc_id"], 4, events)
     model.logit, model.seen = _frozen(counted)
     raw.destroy()
     bare.destroy()
@@ -518,7 +565,7 @@ def price(model: MixingModel, seq: _Sequence) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, trains, class_column: str = "lang", mixer_rows: int = 3000, mixer_tokens: int = 20_000) -> DataFrame:
+def score_texts(docs: DataFrame, trains, class_column: str = "lang") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; a row for each row of docs.
 
     trains: a column that says whether a row may be learned from.
@@ -544,9 +591,9 @@ def score_texts(docs: DataFrame, trains, class_column: str = "lang", mixer_rows:
     frequent = (F.col("c") * SHARE >= n_train) & (F.col("c") >= LEAST) & (F.col("token") != END)
     often = vocabulary.where(frequent).toPandas()  # SHARE rows at most
     rare = vocabulary.where(~frequent & (F.col("token") != END))
-    model = fit_mixing(trained, often, sizes, docs_of, mixer_rows)
+    model = fit_mixing(trained, often, sizes, docs_of)
     once = rare.agg(F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes)).first()
-    spelling, speller = fit_spelling(rare, once["n"], len(docs_of), mixer_tokens)
+    spelling, speller = fit_spelling(rare, len(docs_of))
     least = max(LEAST, -(-n_train // SHARE))
     edge = least * int((often["c"] == least).sum()) if len(often) else 0
     unseen = min((once["once"] + 0.5) / (once["c"] + edge + 1), 0.999) if once["c"] else 1.0

@@ -141,3 +141,48 @@ def test_score_by_plain_loops(fitted):
                 score += math.log10(unseen) + L.spell(spelling, speller, [w.encode()], np.array([kind]))[0] / L.EVENT * math.log10(2)
         assert math.isclose(fitted["rows"][i].base_score, base, rel_tol=1e-9, abs_tol=1e-6)
         assert math.isclose(fitted["rows"][i].score, score, rel_tol=1e-4), i
+
+
+def test_weights_learn_from_all_training_texts_and_rare_tokens(spark, monkeypatch):
+    """More texts and more rare tokens than a sample of 3000 and 20,000 would take: every decision and every bit is learned from."""
+    held, fit, spelling = {}, L.fit_mixing, L.fit_spelling
+    monkeypatch.setattr(L, "fit_mixing", lambda *a, **k: held.setdefault("model", fit(*a, **k)))
+    monkeypatch.setattr(L, "fit_spelling", lambda *a, **k: held.setdefault("spelling", spelling(*a, **k)))
+    texts = {i: f"the end of {'this' if i % 3 else 'that'} " + " ".join(f"w{i}x{k}" for k in range(7)) for i in range(4200)}
+    L.score_texts(spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").repartition(3), F.col("doc_id") % 4 != 0)
+    model, (_, speller) = held["model"], held["spelling"]
+    trained = [t for i, t in texts.items() if i % 4]
+    decisions = sum(int(model.paths.size[L._Sequence(model, *_raw(t)).symbol].sum()) for t in trained)
+    rare = [w for t in trained for w in t.split() if w.startswith("w")]
+    assert len(trained) > 3000 and len(rare) > 20_000
+    assert model.mixer.refined.sum() == decisions
+    assert speller.refined.sum() == sum(8 * (len(w) + 1) for w in rare)
+
+
+def test_weights_by_plain_loops(spark):
+    """Online Newton steps after each round, event by event."""
+    rng = random.Random(5)
+    rows = [(i, *(rng.randrange(-60, 61) / 16 for _ in range(2)), rng.randrange(3)) for i in range(3000)]
+    rows = [(i, a, b, g, int(rng.random() < 1 / (1 + math.exp(-a + 0.5 * b - 0.3 * g)))) for i, a, b, g in rows]
+
+    def events(batch):
+        _, a, b, g, one = (c.to_numpy() for c in batch.columns)
+        yield [a.astype(np.float32), b.astype(np.float32)], g, one
+
+    df = spark.createDataFrame(rows, "id long, a double, b double, gate long, one long").repartition(3)
+    got = L._learned(df, ["id"], 2, events)
+    share = {r.id: r.s for r in df.select("id", F.pmod(F.xxhash64("id"), F.lit(8)).alias("s")).collect()}
+    weights, seen = {g: np.array([0.6, 0.6, 0.0]) for g in range(3)}, {g: L.PRIOR * np.eye(3) for g in range(3)}
+    for low, high in ((0, 1), (1, 2), (2, 4), (4, 8)):
+        gradient = {g: np.zeros(3) for g in range(3)}
+        for i, a, b, g, one in rows:
+            if low <= share[i] < high:
+                x = np.array([a, b, 1.0])
+                error = one - 1 / (1 + math.exp(-weights[g] @ x))
+                gradient[g] += error * x
+                seen[g] += error**2 * np.outer(x, x)
+        for g in range(3):
+            weights[g] = weights[g] + np.linalg.solve(seen[g], gradient[g])
+    assert got.refined.sum() == 3000
+    for g in range(3):
+        assert np.allclose(got.weights[g], weights[g], atol=1e-3)
