@@ -56,7 +56,7 @@ FIXED = 1 << 36
 EVENT = 1 << 20
 _PIECE = 1 << 15
 _BLOCK = 1 << 13
-_HELD = 1 << 21
+_HELD = 1 << 22
 STEPS = 33
 ROUNDS, PRIOR = 4, 20.0
 _ERROR, _SQUARE, _INPUT = 1 << 24, 1 << 16, 16  # units of errors, squared errors and inputs in sums
@@ -66,11 +66,23 @@ _SEEN = np.array([1, 3, 16])  # a hashed context seen never, once or twice, up t
 GATES = 16
 
 
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at], all of which exist: without the check for that a read takes half the time."""
+    return values.take(at, mode="clip")
+
+
+def _spread(node: np.ndarray) -> np.ndarray:
+    return (W.mix((node.astype(np.uint64) >> np.uint64(3)) * _M[0] + _M[1]) >> np.uint64(32)).astype(np.uint32)
+
+
+def _high(context: np.ndarray) -> np.ndarray:
+    return (context >> np.uint64(32)).astype(np.uint32)
+
+
 def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (context ^ (node.astype(np.uint64, copy=False) * _M[0])) * _M[1]
-        h ^= h >> np.uint64(32)
-        return ((h * _M[2]) >> np.uint64(64 - bits)).astype(np.int64)
+    """The slot of a node after a context: the first bits of the sum of both hashes. The nodes of a group of three levels (8 numbers)
+    lie beside each other, so a path reads memory in few places."""
+    return ((_high(context) + _spread(node)) >> np.uint32(32 - bits)).astype(np.int64) ^ (node & 7)
 
 
 def _logit(one, zero):
@@ -92,14 +104,21 @@ class Mixer:
         if self.weights is None:
             self.weights = np.column_stack([np.full((GATES, self.k), 1.2 / self.k), np.zeros(GATES)])
 
-    def mixed(self, x: list[np.ndarray], gate: np.ndarray):
+    def mixed(self, x: list[np.ndarray], of_gate):
+        """The mixed probability and its step. of_gate gives a value of each gate to every event."""
         by = self.weights.astype(np.float32).T.copy()
-        z = by[self.k].take(gate)
+        z = of_gate(by[self.k])
         for k in range(self.k):
-            z += by[k].take(gate) * x[k]
-        np.clip(z, -15.9, 15.9, out=z)
-        step = np.rint((z + np.float32(16)) * np.float32((STEPS - 1) / 32)).astype(np.int64)
-        return 1 / (1 + np.exp(-z)), step
+            part = of_gate(by[k])
+            part *= x[k]
+            z += part
+        np.clip(z, np.float32(-15.9), np.float32(15.9), out=z)
+        step = z + np.float32(16)
+        step *= np.float32((STEPS - 1) / 32)
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        return np.reciprocal(z, out=z), np.rint(step, out=step).astype(np.int64)
 
     def step(self, sums: np.ndarray) -> None:
         """An online Newton step with the sums of a round."""
@@ -116,12 +135,13 @@ class Mixer:
 
     def log2(self, table, x: list[np.ndarray], gate: np.ndarray, ones: np.ndarray) -> np.ndarray:
         """log2 of each event's probability."""
-        p, step = self.mixed(x, gate)
-        cell = gate * STEPS + step
-        p *= table[0].take(cell)
-        p += table[1].take(cell)
-        p = np.abs(p - (1 - ones).astype(np.float32))
-        return np.log2(np.clip(p, 1e-7, 1, out=p))
+        p, cell = self.mixed(x, lambda values: _take(values, gate))
+        cell += gate * STEPS
+        p *= _take(table[0], cell)
+        p += _take(table[1], cell)
+        p -= (1 - ones).astype(np.float32)
+        np.abs(p, out=p)
+        return np.log2(np.clip(p, np.float32(1e-7), np.float32(1), out=p), out=p)
 
 
 class _Sums:
@@ -138,22 +158,31 @@ class _Sums:
         return gradient.reshape(GATES, k), squares.reshape(GATES, k, k), seen.reshape(GATES, STEPS, 2)
 
     def add(self, x: list[np.ndarray], gate: np.ndarray, ones: np.ndarray) -> None:
-        whole = [np.rint(v * np.float32(_INPUT)) for v in x]
-        p, step = self.mixer.mixed([v * np.float32(1 / _INPUT) for v in whole], gate)
-        step += gate * STEPS
-        self.seen += np.bincount(step * 2 + ones, minlength=GATES * STEPS * 2).reshape(GATES, STEPS, 2)
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=GATES))])
-        inputs = np.full((len(whole) + 1, len(gate)), float(_INPUT))
-        for row, v in zip(inputs, whole, strict=False):
-            row[:] = v.take(order)
-        error = np.rint((ones - p) * np.float32(_ERROR)).take(order).astype(np.float64)
+        """x: inputs, as numbers of 1/_INPUT where they are int8."""
+        order = np.argsort(gate.astype(np.uint8, copy=False), kind="stable")
+        sizes = np.bincount(gate, minlength=GATES)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        inputs = np.empty((len(x) + 1, len(gate)))
+        x = [_take(v if v.dtype == np.int8 else np.rint(v * np.float32(_INPUT)).astype(np.int8), order) for v in x]
+        for row, v in zip(inputs, x, strict=False):
+            row[:] = v
+        inputs[-1] = _INPUT
+        ones = _take(ones, order)
+        p, step = self.mixer.mixed([v * np.float32(1 / _INPUT) for v in x], lambda values: np.repeat(values, sizes))
+        step += np.repeat(np.arange(GATES) * STEPS, sizes)
+        step *= 2
+        step += ones
+        self.seen += np.bincount(step, minlength=GATES * STEPS * 2).reshape(GATES, STEPS, 2)
+        error = np.rint((ones.astype(np.float32) - p) * np.float32(_ERROR)).astype(np.float64)
         square = np.rint(error * error * (_SQUARE / _ERROR**2))
         # Products of whole numbers that stay below 2^53: exact in any order.
-        for g in np.flatnonzero(np.diff(bounds)):
-            own = inputs[:, bounds[g] : bounds[g + 1]]
-            self.gradient[g] += (own @ error[bounds[g] : bounds[g + 1]]).astype(np.int64)
-            self.squares[g] += ((own * square[bounds[g] : bounds[g + 1]]) @ own.T).astype(np.int64)
+        right = np.empty((len(x) + 2, len(gate)))
+        np.multiply(inputs, square, out=right[:-1])
+        right[-1] = error
+        for g in np.flatnonzero(sizes):
+            both = (inputs[:, bounds[g] : bounds[g + 1]] @ right[:, bounds[g] : bounds[g + 1]].T).astype(np.int64)
+            self.gradient[g] += both[:, -1]
+            self.squares[g] += both[:, :-1]
 
     def rows(self):
         cell = np.flatnonzero(self.all)
@@ -190,9 +219,8 @@ class Paths:
         run = np.concatenate([[0], np.cumsum(weight)]).astype(np.float64)
         runs = np.concatenate([np.zeros((1, by_class.shape[1])), np.cumsum(by_class, 0)])
         low, high, open_ = np.zeros(n, np.int64), np.full(n, n, np.int64), np.arange(n)
-        nodes, bits, who = [], [], []
-        left, right = np.ones(n), np.ones(n)
-        lefts, rights = np.zeros((n, by_class.shape[1])), np.zeros((n, by_class.shape[1]))
+        nodes, bits, who, cuts = [], [], [], []
+        group, local, groups = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
         while len(open_):
             lo, hi = low[open_], high[open_]
             half = (run[lo] + run[hi]) / 2
@@ -200,16 +228,27 @@ class Paths:
             before = np.maximum(at - 1, lo + 1)
             at = np.where(half - run[before] < run[at] - half, before, at)
             bit = open_ >= at
-            nodes.append(at)
+            if len(nodes) % 3 == 0:  # a group of nodes starts
+                roots, own = np.unique(at, return_inverse=True)
+                group[open_], local[open_] = groups + own, 1
+                groups += len(roots)
+            node = group[open_] * 8 + local[open_]
+            local[open_] = local[open_] * 2 + bit
+            nodes.append(node)
             bits.append(bit)
             who.append(open_)
-            left[at], right[at] = run[at] - run[lo], run[hi] - run[at]
-            lefts[at], rights[at] = runs[at] - runs[lo], runs[hi] - runs[at]
+            node, first = np.unique(node, return_index=True)
+            cuts.append((node, lo[first], at[first], hi[first]))
             low[open_], high[open_] = np.where(bit, at, lo), np.where(bit, hi, at)
             open_ = open_[high[open_] - low[open_] > 1]
         order = np.argsort(np.concatenate(who), kind="stable")
-        self.node = np.concatenate(nodes)[order]
-        self.bit = np.concatenate(bits)[order].astype(np.int8)
+        node, bit = np.concatenate(nodes)[order], np.concatenate(bits)[order]
+        self.step = (node * 2 + bit) << 32 | _spread(node)
+        left, right = np.ones(groups * 8), np.ones(groups * 8)
+        lefts, rights = np.zeros((groups * 8, by_class.shape[1])), np.zeros((groups * 8, by_class.shape[1]))
+        for node, lo, at, hi in cuts:
+            left[node], right[node] = run[at] - run[lo], run[hi] - run[at]
+            lefts[node], rights[node] = runs[at] - runs[lo], runs[hi] - runs[at]
         self.size = np.bincount(np.concatenate(who), minlength=n)
         self.start = np.cumsum(self.size) - self.size
         self.sides, self.class_sides = np.stack([left, right]), np.stack([lefts.T, rights.T])
@@ -222,13 +261,26 @@ class Paths:
         own = np.log((rights + 8 * share) / (lefts + 8 * other))
         return np.clip(np.log(share / other), -7.9, 7.9), np.clip(own, -7.9, 7.9)
 
-    def left_out(self, node, bit, kind, true):
-        """Both logits from the counts without the event itself, which is in those of its true class."""
-        met, at = bit.astype(np.float32), kind * self.sides.shape[1] + node
-        mine = (kind == true).astype(np.float32)
-        sides = [np.maximum(self.sides[k].take(node) - own, 0) for k, own in enumerate((1 - met, met))]
-        class_sides = [np.maximum(self.class_sides[k].reshape(-1).take(at) - own * mine, 0) for k, own in enumerate((1 - met, met))]
-        return self.logits(*sides, *class_sides)
+    @property
+    def node(self) -> np.ndarray:
+        return self.step >> 33
+
+    @property
+    def bit(self) -> np.ndarray:
+        return self.step >> 32 & 1
+
+    def left_out(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both logits in 1/_INPUT from the counts without the event itself, by node and bit, the second by class and whether that
+        is the event's true class, too."""
+        kinds, n = self.class_logit.shape
+        logit, own = np.zeros((n, 2), np.int8), np.zeros((kinds, 2, n, 2), np.int8)
+        for bit in (0, 1):
+            sides = [np.maximum(self.sides[k] - np.float32(k == bit), 0) for k in (0, 1)]
+            for mine in (0, 1):
+                class_sides = [np.maximum(self.class_sides[k] - np.float32(k == bit) * np.float32(mine), 0) for k in (0, 1)]
+                whole = [np.rint(x * np.float32(_INPUT)) for x in self.logits(*sides, *class_sides)]
+                logit[:, bit], own[:, mine, :, bit] = whole
+        return logit.reshape(-1), own.reshape(-1)
 
 
 @dataclass
@@ -239,8 +291,7 @@ class MixingModel:
     prior: np.ndarray
     bits: int
     symbols: dict  # c and base of each symbol
-    logit: np.ndarray = None  # of each slot of both hashed tables, in 1/16
-    seen: np.ndarray = None
+    frozen: np.ndarray = None  # logit and gate of each slot of both hashed tables
     mixer: Mixer = field(default_factory=lambda: Mixer(4))
 
 
@@ -265,22 +316,39 @@ class _Sequence:
         two[1:] = one[:-1]
         two[first] = _START
         with np.errstate(over="ignore"):
-            self.contexts = [W.mix(one), W.mix(one * _M[3] + two)]
+            self.contexts = [_high(W.mix(one)), _high(W.mix(one * _M[3] + two))]
         self.kind = np.zeros(n + texts, np.int64)
         if model.evidence.shape[1] > 1 and texts:
-            run = np.cumsum(model.evidence[self.symbol], axis=0, dtype=np.int64)
-            run -= model.evidence[self.symbol]
-            run -= np.repeat(run[first], np.diff(self.bounds), axis=0)
-            self.kind = (run + model.prior).argmax(1)
+            best = None
+            for k, own in enumerate(model.evidence.T.copy()):
+                each = _take(own, self.symbol)
+                run = np.cumsum(each, dtype=np.int64)
+                run -= each
+                run -= np.repeat(run[first] - model.prior[k], np.diff(self.bounds))
+                if best is None:
+                    best = run
+                    continue
+                self.kind[run > best] = k
+                np.maximum(best, run, out=best)
 
     def events(self, model: MixingModel, low: int, high: int):
-        """For the tokens low to high: how many decisions each has; node, bit, class and both slots of every one."""
+        """For the tokens low to high: how many decisions each has; of every one node and bit as one number, and its slots in
+        both hashed tables."""
         paths, symbol = model.paths, self.symbol[low:high]
         n = paths.size[symbol]
-        at = np.repeat(paths.start[symbol] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        node = paths.node[at]
-        slots = [_slots(np.repeat(c[low:high], n), node, model.bits) + (k << model.bits) for k, c in enumerate(self.contexts)]
-        return n, node, paths.bit[at], np.repeat(self.kind[low:high], n), slots
+        ends = np.cumsum(n)
+        at = np.repeat(paths.start[symbol] - (ends - n), n)
+        at += np.arange(len(at))
+        step, shift, slots = _take(paths.step, at), np.uint32(32 - model.bits), []
+        spread = step.astype(np.uint32)
+        step >>= 32
+        local = (step >> 1) & 7
+        for c in self.contexts:
+            h = np.repeat(c[low:high], n)
+            h += spread
+            h >>= shift
+            slots.append(h ^ local)
+        return n, step, slots
 
 
 def _sequences(model: MixingModel, column, limit: int = W.BLOCK):
@@ -289,6 +357,11 @@ def _sequences(model: MixingModel, column, limit: int = W.BLOCK):
         yield a, z, _Sequence(model, data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
 
 
+def _tally(counts: np.ndarray, at: np.ndarray) -> None:
+    """Add how often each place occurs in `at`: sorted first, so that memory is met in order."""
+    np.add(counts, np.bincount(np.sort(at), minlength=len(counts)), out=counts, casting="unsafe")
+
+
 def _sparse(counts: np.ndarray):
     """Rows of the blocks of counts that hold any: up to 255 of each count as bytes, and what lies beyond as a second row."""
     for at in range(0, len(counts), _BLOCK):
@@ -323,15 +396,28 @@ def _summed(parts: DataFrame, total: int) -> np.ndarray:
     return out[:total]
 
 
-def _frozen(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs (zeros, ones): the logit in 1/16 and how often a slot was seen, as the gate needs it."""
-    pair = counts.reshape(-1, 2)
-    logit, seen = np.zeros(len(pair), np.int8), np.zeros(len(pair), np.int8)
-    for at in range(0, len(pair), 1 << 18):
-        part = pair[at : at + (1 << 18)].astype(np.float32)
-        logit[at : at + len(part)] = np.rint(_logit(part[:, 1], part[:, 0]) * 16)
-        seen[at : at + len(part)] = np.searchsorted(_SEEN, part.sum(1), "right")
-    return logit, seen
+def _packed(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The logit in 1/16 as the low byte, and above it how often a slot was seen, as the gate needs it."""
+    out = np.zeros(len(zero), np.int16)
+    for at in range(0, len(zero), 1 << 18):
+        part = [np.maximum(x[at : at + (1 << 18)], 0).astype(np.float32) for x in (zero, one)]
+        logit = np.rint(_logit(part[1], part[0]) * np.float32(_INPUT)).astype(np.int16)
+        out[at : at + len(logit)] = (np.searchsorted(_SEEN, part[0] + part[1], "right") << 8) | (logit & 255)
+    return out
+
+
+def _unpacked(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return cells.astype(np.int8), cells >> 8
+
+
+def _frozen(counts: np.ndarray, tables: int) -> np.ndarray:
+    """counts: zeros and ones of each slot, table after table. A row of _packed for each table."""
+    return np.stack([_packed(*own.T) for own in counts.reshape(tables, -1, 2)])
+
+
+def _left_out(counts: np.ndarray, tables: int) -> np.ndarray:
+    """As _frozen, from the counts without the event itself, for each slot and bit."""
+    return np.stack([np.column_stack([_packed(zero - 1, one), _packed(zero, one - 1)]).reshape(-1) for zero, one in (own.T for own in counts.reshape(tables, -1, 2))])
 
 
 def count_tokens(docs: DataFrame, n_classes: int) -> DataFrame:
@@ -345,9 +431,11 @@ def count_tokens(docs: DataFrame, n_classes: int) -> DataFrame:
                 block = W.Block(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], lower=True)
                 h = block.hashes()
                 order = np.argsort(h)
-                first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
+                sorted_ = h[order]
+                first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(h) else np.zeros(0, np.int64)
                 kind = np.repeat(kinds[a:z], block.n_words)[order]
-                own = [np.add.reduceat((kind == k).astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for k in range(n_classes)]
+                which = np.repeat(np.arange(len(first)), np.diff(first, append=len(h)))
+                own = np.bincount(which * n_classes + kind, minlength=len(first) * n_classes).reshape(-1, n_classes).T
                 tokens = _spelled_out(block, order[first])
                 yield pa.RecordBatch.from_arrays([pa.array(h[order[first]].view(np.int64)), tokens, *map(pa.array, own)], names=names)
                 ends = np.bincount(kinds[a:z], minlength=n_classes)
@@ -369,6 +457,18 @@ def _spelled_out(block: W.Block, words: np.ndarray) -> pa.Array:
 # --- spelling of tokens never seen -------------------------------------------------------------------------------------------
 
 
+def _byte_nodes() -> np.ndarray:
+    """Numbers of the decisions of a byte, by its bits before with a 1 in front, in groups of three levels."""
+    prefix = np.arange(1, 256)
+    depth = np.frexp(prefix)[1] - 1
+    above = prefix >> (depth % 3)  # the group's first decision
+    return np.append(0, above * 8 + (prefix - (above << (depth % 3)) + (1 << (depth % 3))))
+
+
+_NODES = _byte_nodes()
+_SPREAD, _LOCAL = _spread(_NODES), _NODES & 7
+
+
 class _Spelling:
     """The bytes of words end to end, each with a space after it, and the contexts of every byte."""
 
@@ -389,11 +489,12 @@ class _Spelling:
                 seen = depth >= k
                 back[seen] = self.data[at[seen] - k]
                 last = last * np.uint64(257) + back + np.uint64(1)
-                self.contexts.append(W.mix(last + np.uint64(k)) ^ kind)
+                self.contexts.append(_high(W.mix((last + np.uint64(k)) ^ kind)))
 
     def events(self, bit: int):
-        node = (np.uint64(1) << np.uint64(bit)) | (self.data.astype(np.uint64) >> np.uint64(8 - bit))
-        slots = [_slots(c, node, SPELL_BITS) + (k << SPELL_BITS) for k, c in enumerate(self.contexts)]
+        prefix = (self.data >> np.uint8(8 - bit)) + (1 << bit) if bit else np.ones(len(self.data), np.uint8)
+        spread, local = _take(_SPREAD, prefix), _take(_LOCAL, prefix)
+        slots = [((c + spread) >> np.uint32(32 - SPELL_BITS)) ^ local for c in self.contexts]
         return ((self.data >> np.uint8(7 - bit)) & np.uint8(1)).astype(np.int64), slots
 
 
@@ -410,15 +511,15 @@ def _word_pieces(words: list[bytes], limit: int = 1 << 17):
 
 def spell(frozen, mixer: Mixer, words: list[bytes], kinds: np.ndarray) -> np.ndarray:
     """log2 of each word's probability in its class, in fixed point (EVENT)."""
-    logit, seen = frozen
     table, out = mixer.table(), np.zeros(len(words), np.int64)
     for a, z in _word_pieces(words):
         spelled = _Spelling(words[a:z], kinds[a:z])
         total = np.zeros(len(spelled.data), np.int64)
         for bit in range(8):
             ones, slots = spelled.events(bit)
-            x = [logit[s] * (1 / 16) for s in slots]
-            gate = seen[slots[2]].astype(np.int64) * 4 + seen[slots[3]]
+            cells = [_unpacked(_take(own, s)) for own, s in zip(frozen, slots, strict=True)]
+            x = [logit * np.float32(1 / _INPUT) for logit, _ in cells]
+            gate = cells[2][1].astype(np.int64) * 4 + cells[3][1]
             total += np.rint(mixer.log2(table, x, gate, ones) * EVENT).astype(np.int64)
         out[a:z] = np.add.reduceat(total, spelled.bounds[:-1])
     return out
@@ -440,15 +541,14 @@ def fit_spelling(rare: DataFrame, n_classes: int):
             words, kinds = spelled_rows(batch)
             for a, z in _word_pieces(words, 1 << 18):
                 spelled = _Spelling(words[a:z], kinds[a:z])
-                for bit in range(8):
-                    ones, slots = spelled.events(bit)
-                    for k, s in enumerate(slots):
-                        part = counts[k * (2 << SPELL_BITS) : (k + 1) * (2 << SPELL_BITS)]
-                        part += np.bincount((s - (k << SPELL_BITS)) * 2 + ones, minlength=2 << SPELL_BITS)
+                met = [*map(spelled.events, range(8))]
+                for k in range(4):
+                    part = counts[k * (2 << SPELL_BITS) : (k + 1) * (2 << SPELL_BITS)]
+                    _tally(part, np.concatenate([(slots[k] * 2 + ones).astype(np.int32) for ones, slots in met]))
         yield from _sparse(counts)
 
     counts = _summed(map_arrow(rare, count, "block int, counts binary"), total)
-    raw = rare.sparkSession.sparkContext.broadcast(counts)
+    raw = rare.sparkSession.sparkContext.broadcast(_left_out(counts, 4))
 
     def events(batch):
         words, kinds = spelled_rows(batch)
@@ -456,25 +556,12 @@ def fit_spelling(rare: DataFrame, n_classes: int):
             spelled = _Spelling(words[a:z], kinds[a:z])
             for bit in range(8):
                 ones, slots = spelled.events(bit)
-                yield *_left_out(raw.value, slots, ones, (2, 3)), ones
+                cells = [_unpacked(_take(own, s * 2 + ones)) for own, s in zip(raw.value, slots, strict=True)]
+                yield [x for x, _ in cells], cells[2][1] * 4 + cells[3][1], ones
 
     mixer = _learned(rare, ["h", "token"], 4, events)
     raw.destroy()
-    return _frozen(counts), mixer
-
-
-def _left_out(counts: np.ndarray, slots: list[np.ndarray], ones: np.ndarray, gates: tuple[int, int]):
-    """Inputs of hashed slots and the gate, from the counts without the event itself."""
-    x, gate, met = [], 0, ones.astype(np.float32)
-    pairs, seen = counts.view(np.int64), dict.fromkeys(gates)
-    for k, s in enumerate(slots):
-        both = pairs.take(s).view(np.int32).astype(np.float32)
-        zero, one = np.maximum(both[0::2] - (1 - met), 0), np.maximum(both[1::2] - met, 0)
-        x.append(_logit(one, zero))
-        if k in seen:
-            total = zero + one
-            seen[k] = sum((total >= b).astype(np.int64) for b in _SEEN)
-    return x, seen[gates[0]] * 4 + seen[gates[1]]
+    return _frozen(counts, 4), mixer
 
 
 # --- the sequence model ------------------------------------------------------------------------------------------------------
@@ -517,16 +604,17 @@ def fit_mixing(trained: DataFrame, often, sizes: dict, docs_of: list[int]) -> Mi
         def flush():
             for k, parts in enumerate(held):
                 if parts:
-                    counts[k * size // 2 : (k + 1) * size // 2] += np.bincount(np.concatenate(parts), minlength=size // 2).astype(np.int32)
+                    _tally(counts[k * size // 2 : (k + 1) * size // 2], np.concatenate(parts))
                     parts.clear()
 
         for batch in batches:
             for _, _, seq in _sequences(own, batch.column(0)):
-                for low in range(0, len(seq.symbol), _PIECE):
-                    _, _, bit, _, slots = seq.events(own, low, low + _PIECE)
+                for low in range(0, len(seq.symbol), _PIECE // 8):
+                    _, code, slots = seq.events(own, low, low + _PIECE // 8)
+                    bit = code & 1
                     for k, s in enumerate(slots):
-                        held[k].append(((s - (k << own.bits)) * 2 + bit).astype(np.int32))
-                    n += len(bit)
+                        held[k].append((s * 2 + bit).astype(np.int32))
+                    n += len(code)
                     if n >= _HELD:
                         flush()
                         n = 0
@@ -534,19 +622,23 @@ def fit_mixing(trained: DataFrame, often, sizes: dict, docs_of: list[int]) -> Mi
         yield from _sparse(counts)
 
     counted = _summed(map_arrow(trained.select("text"), count, "block int, counts binary"), size)
-    raw = spark.broadcast(counted)
+    raw = spark.broadcast((*model.paths.left_out(), *_left_out(counted, 2)))
 
     def events(batch):
         own, kinds = bare.value, batch.column(batch.schema.get_field_index("class")).to_numpy()
+        logit, class_logit, *tables = raw.value
         for a, z, seq in _sequences(own, batch.column(batch.schema.get_field_index("text"))):
             true = np.repeat(kinds[a:z], np.diff(seq.bounds))
-            for low in range(0, len(seq.symbol), _PIECE // 16):
-                n, node, bit, kind, slots = seq.events(own, low, low + _PIECE // 16)
-                x, gate = _left_out(raw.value, slots, bit, (0, 1))
-                yield [*own.paths.left_out(node, bit, kind, np.repeat(true[low : low + _PIECE // 16], n)), *x], gate, bit
+            of_class = (seq.kind * 2 + (seq.kind == true)) * len(logit)
+            for low in range(0, len(seq.symbol), _PIECE // 8):
+                n, code, slots = seq.events(own, low, low + _PIECE // 8)
+                bit = code & 1
+                cells = [_unpacked(_take(t, s * 2 + bit)) for t, s in zip(tables, slots, strict=True)]
+                x = [_take(logit, code), _take(class_logit, np.repeat(of_class[low : low + _PIECE // 8], n) + code)]
+                yield [*x, *(v for v, _ in cells)], cells[0][1] * 4 + cells[1][1], bit
 
     model.mixer = _learned(trained, ["doc_id"], 4, events)
-    model.logit, model.seen = _frozen(counted)
+    model.frozen = _frozen(counted, 2)
     raw.destroy()
     bare.destroy()
     return model
@@ -555,13 +647,15 @@ def fit_mixing(trained: DataFrame, often, sizes: dict, docs_of: list[int]) -> Mi
 def price(model: MixingModel, seq: _Sequence) -> np.ndarray:
     """log2 of each token's probability in fixed point (EVENT); of the escape, where a token is no symbol."""
     table, out = model.mixer.table(), np.zeros(len(seq.symbol), np.int64)
-    for low in range(0, len(seq.symbol), _PIECE):
-        n, node, bit, kind, slots = seq.events(model, low, low + _PIECE)
-        own = model.paths.class_logit.reshape(-1).take(kind * len(model.paths.logit) + node)
-        x = [model.paths.logit.take(node), own, *(model.logit.take(s) * np.float32(1 / 16) for s in slots)]
-        gate = model.seen.take(slots[0]).astype(np.int64) * 4 + model.seen.take(slots[1])
+    of_class, own = seq.kind * len(model.paths.logit), model.paths.class_logit.reshape(-1)
+    for low in range(0, len(seq.symbol), _PIECE // 8):
+        n, code, slots = seq.events(model, low, low + _PIECE // 8)
+        node, bit = code >> 1, code & 1
+        cells = [_unpacked(_take(t, s)) for t, s in zip(model.frozen, slots, strict=True)]
+        x = [_take(model.paths.logit, node), _take(own, np.repeat(of_class[low : low + _PIECE // 8], n) + node), *(v * np.float32(1 / _INPUT) for v, _ in cells)]
+        gate = cells[0][1].astype(np.int64) * 4 + cells[1][1]
         fixed = np.rint(model.mixer.log2(table, x, gate, bit) * EVENT).astype(np.int64)
-        out[low : low + _PIECE] = np.add.reduceat(fixed, np.cumsum(n) - n)
+        out[low : low + _PIECE // 8] = np.add.reduceat(fixed, np.cumsum(n) - n)
     return out
 
 
