@@ -44,3 +44,12 @@ def test_no_pair_is_left_twice():
         k += 1
     assert max(counts.values(), default=0) < 2
     assert any(a == b for a, b in zip(got["left"].tolist(), got["right"].tolist(), strict=True))
+
+
+def test_a_round_ranks_only_what_occurs_often_enough(monkeypatch):
+    """Not every slot of pairs, which costs more than the round's pairs are worth."""
+    ranked, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *k: ranked.append(len(a)) or partition(a, *k))
+    ids, ends = documents(2)
+    got = B.compress(ids, ends, VOCABULARY, rules=2, least=3)
+    assert len(got["left"]) and all(n <= len(ids) // 3 for n in ranked)
