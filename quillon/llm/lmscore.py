@@ -56,7 +56,8 @@ FIXED = 1 << 36
 EVENT = 1 << 20
 _PIECE = 1 << 15
 _BLOCK = 1 << 13
-_HELD = 1 << 22
+_HELD = 1 << 21
+_RANGE = 1 << 17
 STEPS = 33
 ROUNDS, PRIOR = 4, 20.0
 _ERROR, _SQUARE, _INPUT = 1 << 24, 1 << 16, 16  # units of errors, squared errors and inputs in sums
@@ -280,6 +281,7 @@ class Paths:
                 class_sides = [np.maximum(self.class_sides[k] - np.float32(k == bit) * np.float32(mine), 0) for k in (0, 1)]
                 whole = [np.rint(x * np.float32(_INPUT)) for x in self.logits(*sides, *class_sides)]
                 logit[:, bit], own[:, mine, :, bit] = whole
+        self.sides = self.class_sides = None  # not sent to the tasks
         return logit.reshape(-1), own.reshape(-1)
 
 
@@ -358,8 +360,12 @@ def _sequences(model: MixingModel, column, limit: int = W.BLOCK):
 
 
 def _tally(counts: np.ndarray, at: np.ndarray) -> None:
-    """Add how often each place occurs in `at`: sorted first, so that memory is met in order."""
-    np.add(counts, np.bincount(np.sort(at), minlength=len(counts)), out=counts, casting="unsafe")
+    """Add how often each place occurs in `at`: sorted first, then a range of places at a time, so that memory is met in order."""
+    at = np.sort(at)
+    cuts = np.searchsorted(at, np.arange(0, len(counts) + _RANGE, _RANGE))
+    for k, low in enumerate(range(0, len(counts), _RANGE)):
+        own = counts[low : low + _RANGE]
+        np.add(own, np.bincount(at[cuts[k] : cuts[k + 1]] - low, minlength=len(own)), out=own, casting="unsafe")
 
 
 def _sparse(counts: np.ndarray):
@@ -596,6 +602,7 @@ def fit_mixing(trained: DataFrame, often, sizes: dict, docs_of: list[int]) -> Mi
         min(TABLE_BITS, max(14, (2 * n_train).bit_length())), {"c": counts.sum(1), "base": base},
     )
     spark = trained.sparkSession.sparkContext
+    left_out = model.paths.left_out()
     bare, size = spark.broadcast(model), 4 << model.bits
 
     def count(batches):
@@ -622,7 +629,7 @@ def fit_mixing(trained: DataFrame, often, sizes: dict, docs_of: list[int]) -> Mi
         yield from _sparse(counts)
 
     counted = _summed(map_arrow(trained.select("text"), count, "block int, counts binary"), size)
-    raw = spark.broadcast((*model.paths.left_out(), *_left_out(counted, 2)))
+    raw = spark.broadcast((*left_out, *_left_out(counted, 2)))
 
     def events(batch):
         own, kinds = bare.value, batch.column(batch.schema.get_field_index("class")).to_numpy()
@@ -711,21 +718,26 @@ def score_texts(docs: DataFrame, trains, class_column: str = "lang") -> DataFram
                 kinds_ = seq.kind[seq.at[lone]]
                 with np.errstate(over="ignore"):
                     key = W.mix(seq.hashes[lone] + texts.astype(np.uint64) * _M[0] + kinds_.astype(np.uint64) * _M[1])
-                _, first, times = np.unique(key, return_index=True, return_counts=True)
+                order = np.argsort(key)
+                ranked = key[order]
+                new = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), ranked[1:] != ranked[:-1]]))
+                first, times = order[new], np.diff(new, append=len(key))
                 order = np.argsort(texts[first], kind="stable")
                 first, times = first[order], times[order]
                 ends = pa.array(np.searchsorted(texts[first], np.arange(z - a + 1)).astype(np.int32))
-                lists = [pa.array(seq.hashes[lone[first]].view(np.int64)), _spelled_out(block, lone[first]), pa.array(times.astype(np.int32)), pa.array(kinds_[first].astype(np.int32))]
+                lone = lone[first]
+                fields = [pa.array(seq.hashes[lone].view(np.int64)), _spelled_out(block, lone), pa.array(times.astype(np.int32)), pa.array(kinds_[first].astype(np.int32))]
+                rest = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names=["h", "token", "times", "kind"]))
                 columns = [
                     batch.column(0).slice(a, z - a), pa.array(np.full(z - a, part, np.int32)), pa.array(np.arange(at, at + z - a)), pa.array(np.diff(sizes_[a : z + 1])),
-                    pa.array(block.n_words.astype(np.int64) + 1), *(pa.array(per(v)) for v in (known, base, price(own, seq))), *(pa.ListArray.from_arrays(ends, x) for x in lists),
+                    pa.array(block.n_words.astype(np.int64) + 1), *(pa.array(per(v)) for v in (known, base, price(own, seq))), rest,
                 ]
                 at += z - a
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "row", "bytes", "n_tokens", "known", "base", "bits", "h", "rare", "times", "kinds"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "row", "bytes", "n_tokens", "known", "base", "bits", "rest"])
 
-    schema = "doc_id long, part int, row long, bytes long, n_tokens long, known long, base long, bits long, h array<long>, rare array<string>, times array<int>, kinds array<int>"
+    schema = "doc_id long, part int, row long, bytes long, n_tokens long, known long, base long, bits long, rest array<struct<h:long,token:string,times:int,kind:int>>"
     stats = materialize(map_arrow(docs.select("doc_id", "text"), look, schema), "text-stats")
-    each = stats.select("part", "row", F.explode(F.arrays_zip("h", "rare", "times", "kinds")).alias("r")).select("part", "row", F.col("r.h").alias("h"), F.col("r.rare").alias("token"), F.col("r.times").alias("times"), F.col("r.kinds").alias("kind"))
+    each = stats.select("part", "row", F.inline("rest"))
     joined = each.join(rare, ["h", "token"], "left")
     fixed = lambda x: F.round(x * F.lit(float(FIXED))).cast("long")
     c = F.coalesce("c", F.lit(0))
@@ -737,7 +749,7 @@ def score_texts(docs: DataFrame, trains, class_column: str = "lang") -> DataFram
         F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("k"), F.sum(fixed(base) * F.col("times")).alias("b"), F.sum(fixed(seen) * F.col("times")).alias("s"),
         F.collect_list(F.when(F.col("c").isNull(), F.struct("token", "kind", "times"))).alias("new"),
     )
-    both = stats.drop("h", "rare", "times", "kinds").join(added, ["part", "row"], "left")
+    both = stats.drop("rest").join(added, ["part", "row"], "left")
 
     def finish(batch):
         new = batch.column(batch.schema.get_field_index("new"))

@@ -186,3 +186,13 @@ def test_weights_by_plain_loops(spark):
     assert got.refined.sum() == 3000
     for g in range(3):
         assert np.allclose(got.weights[g], weights[g], atol=1e-3)
+
+
+def test_decisions_of_a_path_read_memory_in_few_places():
+    """Three decisions after each other share 8 slots that lie side by side, whatever the context."""
+    paths, rng = L.Paths(np.ones(512), np.ones((512, 1))), np.random.default_rng(0)
+    for symbol, context in zip(range(0, 512, 37), rng.integers(0, 1 << 63, 14).astype(np.uint64), strict=True):
+        node = paths.node[paths.start[symbol] : paths.start[symbol] + paths.size[symbol]]
+        slots = L._slots(np.full(len(node), context), node, 21)
+        assert len(node) == 9 and len(set(slots.tolist())) == 9
+        assert len(set((slots >> 3).tolist())) == 3
